@@ -10,12 +10,21 @@ from kinweave.llm.common import read_table, text_or_empty
 from kinweave.llm.line_dedup import dedup_lines
 from kinweave.llm.sharding import shard_rows
 from kinweave.llm.simhash import simhash_components
+from kinweave.llm.token_files import token_digests, write_tokens
 from kinweave.llm.url_filters import filter_urls
 
+END_ID = 1
 SHARDS = 24
 URL_RULES = "values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
 
 
+def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(spark, write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, deleted lines and runs, the longest run, and the SHA-256 of what is left."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simple8b": op1_simple8b,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op9_sharding": op9_sharding,
