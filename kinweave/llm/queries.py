@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm.common import read_table, text_or_empty
 from kinweave.llm.line_dedup import dedup_lines
+from kinweave.llm.quality import score_quality
 from kinweave.llm.sharding import shard_rows
 from kinweave.llm.simhash import simhash_components
 from kinweave.llm.token_files import token_digests, write_tokens
+from kinweave.llm.toxicity import score_toxicity
 from kinweave.llm.url_filters import filter_urls
 
 END_ID = 1
@@ -25,6 +27,16 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, deleted lines and runs, the longest run, and the SHA-256 of what is left."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +67,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simple8b": op1_simple8b,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op9_sharding": op9_sharding,
