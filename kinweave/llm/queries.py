@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm.common import read_table, text_or_empty
 from kinweave.llm.line_dedup import dedup_lines
+from kinweave.llm.minhash import fingerprint_documents
 from kinweave.llm.quality import score_quality
 from kinweave.llm.sharding import shard_rows
 from kinweave.llm.simhash import simhash_components
@@ -50,6 +51,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(docs, radius=2, width=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the permutation deals single rows, so equal texts need not share a shard."""
     text = text_or_empty(F.col("text"))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
+    "op8_minhash": op8_minhash,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
