@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.llm.common import read_table, text_or_empty
+from kinweave.llm.decontaminate import benchmark_matches
 from kinweave.llm.line_dedup import dedup_lines
 from kinweave.llm.minhash import fingerprint_documents
 from kinweave.llm.quality import score_quality
@@ -51,6 +52,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(docs, radius=2, width=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items each contaminated document holds."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return benchmark_matches(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op8_minhash": op8_minhash,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
