@@ -39,7 +39,7 @@ class Settings:
     rate: float = 0.25
     seed: int = 7
     max_train: int = 6000  # labelled rows at most, by hash order
-    max_train_words: int = 400  # words of a training row at most, drawn evenly over the text
+    max_train_words: int = 256  # words of a training row at most, drawn evenly over the text
     balance: bool = True
     pad: int = 20  # times the feature PAD joins the average of every document, so that a few words decide little
     repeats: bool = False  # a word equal to the one before it also gives the feature REPEAT
@@ -176,7 +176,8 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
     coded, first = split_words(pa.array(texts, pa.string()), s.lower)
     words, code = [*coded.dictionary.to_pylist(), PAD], coded.indices.to_numpy(zero_copy_only=False)
-    feats, counts = word_features([w.encode("utf-8", "surrogatepass") for w in words], s)
+    parts = [word_features([w.encode("utf-8", "surrogatepass") for w in words[i : i + 32768]], s) for i in range(0, len(words), 32768)]
+    feats, counts = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([c for _, c in parts])
     begin = np.cumsum(counts) - counts
     docs = []
     for i in range(len(texts)):
@@ -186,7 +187,7 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
         at = np.repeat(begin[kinds] - (np.cumsum(c) - c), c) + np.arange(c.sum())
         share = np.repeat(times / c / max(1, len(own) + s.pad), c)
         bucket, inverse = np.unique(feats[at], return_inverse=True)
-        docs.append((bucket, np.bincount(inverse, share, len(bucket)).astype(np.float32)))
+        docs.append((bucket.astype(np.int32), np.bincount(inverse, share, len(bucket)).astype(np.float16)))
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     squares = np.full(s.buckets, 1e-4, np.float32)
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
@@ -196,7 +197,7 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)
         for i in rng.permutation(len(docs)):
-            bucket, share = docs[i]
+            bucket, share = docs[i][0], docs[i][1].astype(np.float32)
             hidden = share @ vectors[bucket]
             z = out @ hidden + bias
             p = np.exp(z - z.max())
