@@ -10,6 +10,7 @@ from kinweave.llm.common import read_table, text_or_empty
 from kinweave.llm.decontaminate import benchmark_matches
 from kinweave.llm.line_dedup import dedup_lines
 from kinweave.llm.minhash import fingerprint_documents
+from kinweave.llm.mixing import Target, mix_sources
 from kinweave.llm.quality import score_quality
 from kinweave.llm.sharding import shard_rows
 from kinweave.llm.simhash import simhash_components
@@ -34,6 +35,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed sequence in which no source is read more than four times and every document at least once."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, Target(repeats=4.0))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -80,6 +87,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simple8b": op1_simple8b,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
