@@ -27,6 +27,16 @@ _MARGIN = int(COUNTS.max())
 _LIMITS = np.array([1 << int(w) for w in WIDTHS[1:]], np.uint64)
 
 
+_SHORT = (np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right") + 1).astype(np.uint8)
+
+
+def _kinds(values: np.ndarray) -> np.ndarray:
+    """The narrowest selector each value fits in; 16 for those of more than 60 bits."""
+    if values.size and values.max() < len(_SHORT):
+        return _SHORT[values]
+    return (np.searchsorted(_LIMITS, values.ravel(), side="right") + 1).astype(np.uint8).reshape(values.shape)
+
+
 def _window_max(rows: np.ndarray) -> dict[int, np.ndarray]:
     """For each packing count n, the largest of the n entries from each place on; 0 beyond the margin."""
     powers = {1: rows}
@@ -62,11 +72,12 @@ def pack(values: np.ndarray, sizes: list[int] | None = None, block: int = BLOCK)
         if k > whole:
             grid[lane + whole, : n - whole * block] = values[at + whole * block : at + n]
         at, lane = at + n, lane + k
-    kind = (np.searchsorted(_LIMITS, grid.ravel(), side="right") + 1).astype(np.uint8).reshape(grid.shape)  # 16: too wide
+    kind = _kinds(grid)
     tops = _window_max(kind)
-    best = np.zeros(grid.shape, np.uint8)
-    for s in range(15, 0, -1):  # the fullest packing that fits is set last
-        best[tops[int(COUNTS[s])] <= s] = s
+    best = np.full(grid.shape, 0x80, np.uint8)
+    for s in range(1, 16):  # the least selector that fits packs the most; the top bit marks one that does not
+        np.minimum(best, (tops[int(COUNTS[s])] > s).view(np.uint8) << np.uint8(7) | np.uint8(s), out=best)
+    best[best >= 0x80] = ESCAPE
     place = np.zeros(lanes, np.int64)
     every = np.arange(lanes)
     steps, picks = [], []

@@ -29,8 +29,8 @@ from kinweave.llm.common import without
 from kinweave.storage import new_path, shuffle_partitions
 
 SEGMENT_IDS = 1 << 18
-SLICE_BYTES = 4 << 20
-CACHE_CHUNKS = 1 << 19
+SLICE_BYTES = 8 << 20
+CACHE_CHUNKS = 5 << 17
 
 SEGMENTS = "part int, seq int, first long, keys array<long>, lengths array<long>, payload binary"
 
@@ -62,9 +62,11 @@ class ChunkEncoder:
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        joined, alone = [], []
-        for chunk in chunks:
-            (alone if self.border is None or any(s in chunk for s in self.special) else joined).append(chunk)
+        joined, alone = chunks, []
+        text = "\n".join(chunks)
+        if self.border is None or any(s in text for s in self.special):
+            alone = [c for c in chunks if self.border is None or any(s in c for s in self.special)]
+            joined = [c for c in chunks if self.border is not None and not any(s in c for s in self.special)]
         flats, lengths = [], []
         if joined:
             groups = [joined[i : i + self.GROUP] for i in range(0, len(joined), self.GROUP)]
@@ -96,10 +98,11 @@ class ChunkEncoder:
         coded = pc.dictionary_encode(pc.list_flatten(split))
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.rows]
-        if new:
-            self._learn(new)
-        row = np.fromiter((self.rows[c] for c in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.empty(0, np.int64)
+        known = list(map(self.rows.get, distinct))
+        if None in known:
+            self._learn([c for c, k in zip(distinct, known) if k is None])
+            known = list(map(self.rows.__getitem__, distinct))
+        row = np.array(known, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.empty(0, np.int64)
         starts, counts = self.ends[row], self.ends[row + 1] - self.ends[row]
         before = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.repeat(starts - before[:-1], counts) + np.arange(before[-1])]
@@ -188,7 +191,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     order = ["key", F.xxhash64("text"), "text"]
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     spread = rows.repartitionByRange(shuffle_partitions(spark), "key", F.xxhash64("text")).sortWithinPartitions(*order)
-    spread.mapInArrow(_encode(tokenizer_path, end_id), SEGMENTS).write.option("compression", "zstd").parquet(path)
+    spread.mapInArrow(_encode(tokenizer_path, end_id), SEGMENTS).write.option("compression", "snappy").parquet(path)
     return path
 
 
