@@ -80,10 +80,10 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def digit_agreement(a: Column, b: Column) -> Column:
-    """Share of positions with equal characters, of the longer length."""
+    """Share of positions with equal characters, of the longer length; null if either is null."""
     n = F.greatest(F.length(a), F.length(b))
     same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), lambda i: F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))))
-    return F.when((a == "") | (b == ""), 0.0).otherwise(same / n)
+    return F.when(a.isNull() | b.isNull(), None).when((a == "") | (b == ""), 0.0).otherwise(same / n)
 
 
 def best_of_values(a: Column, b: Column) -> Column:
