@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave.sources.tables import read_table  # noqa: F401  (re-exported for the query modules)
@@ -23,6 +29,25 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("kw"), text)]
 
 
+def slices_by_bytes(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes of text, at least one row each: what is derived from a batch at once stays bounded."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield at, to
+        at = to
+
+
+def release_memory() -> None:
+    """Give a Python worker's freed memory back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def global_row_numbers(df: DataFrame, keys: list[str], out: str = "row_no") -> DataFrame:
     """Add gapless numbers from 0 in the order of ``keys`` (nulls first), ties by all columns.
 

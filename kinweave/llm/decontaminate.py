@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from kinweave.llm.common import release_memory
+
 Q = 8
 RATE = 0.1
 BLOCK_CHARS = 4 << 20  # of items in one broadcast
@@ -292,6 +294,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
                     for found in index.search([points(normal(t)) for t in texts.slice(at, 512).to_pylist()]):
                         clean[at + found[0]] = False
                 yield batch.filter(pa.array(clean))
+            release_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

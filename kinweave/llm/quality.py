@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kinweave.llm.common import release_memory
 from kinweave.llm.subword import Settings, labelled_sample, train
 from kinweave.llm.toxicity import _scored
 
-SETTINGS = Settings(lower=False, ngrams=(2, 3), pad=20, repeats=True, max_train=6_000)
+SETTINGS = Settings(lower=False, ngrams=(2, 3), pad=20, repeats=True, max_train=3_000)
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -38,5 +39,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTIN
         for batch in batches:
             good = shared.value.scores(batch.column(batch.schema.get_field_index(text))) >= 0.5
             yield batch.filter(pa.array(good))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from kinweave.llm.common import release_memory, slices_by_bytes
+
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)
+KNOWN_WORDS = 1 << 17
 REPEAT, PAD = "\x01same", "\x02pad"
 
 
@@ -126,20 +129,21 @@ class Model:
     def logits(self, texts: pa.Array) -> np.ndarray:
         """One number per text; a text without words has the bias."""
         out = np.empty(len(texts))
-        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (8 << 20), side="right")))
+        for at, to in slices_by_bytes(texts, 2 << 20):
             coded, first = split_words(texts.slice(at, to - at), self.settings.lower)
             distinct = coded.dictionary.to_pylist()
-            if len(self.seen) > 1 << 19:
-                self.seen.clear()
-            new = [w for w in distinct if w not in self.seen]
-            for i in range(0, len(new), 1 << 16):
-                part = new[i : i + (1 << 16)]
-                self.seen.update(zip(part, self.word_scores(part).tolist()))
+            scores = list(map(self.seen.get, distinct))
+            new = [i for i, x in enumerate(scores) if x is None]
+            for lo in range(0, len(new), 1 << 15):
+                part = new[lo : lo + (1 << 15)]
+                words = [distinct[i] for i in part]
+                got = self.word_scores(words).tolist()
+                for i, x in zip(part, got):
+                    scores[i] = x
+                if len(self.seen) < KNOWN_WORDS:  # the frequent words come early; what is known stays bounded
+                    self.seen.update(zip(words, got))
             code = coded.indices.to_numpy(zero_copy_only=False)
-            per_word = np.fromiter((self.seen[w] for w in distinct), float, len(distinct))[code] if distinct else np.empty(0)
+            per_word = np.array(scores, float)[code] if distinct else np.empty(0)
             sums = np.concatenate(([0.0], np.cumsum(per_word)))
             n, total = np.diff(first), sums[first[1:]] - sums[first[:-1]]
             if self.settings.repeats:
@@ -149,7 +153,6 @@ class Model:
                 again = np.where(n > 0, same[first[1:]] - same[np.minimum(first[:-1] + 1, len(code))], 0)
                 n, total = n + again, total + again * self.repeat
             out[at:to] = (total + self.settings.pad * self.rest) / np.maximum(1, n + self.settings.pad) + self.bias
-            at = to
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -259,6 +262,7 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
             table = pa.Table.from_batches([batch])
             scores = pa.array(own.scores(batch.column(batch.num_columns - 1)), pa.float64())
             yield from table.drop_columns([table.column_names[-1]]).append_column("score", scores).to_batches()
+        release_memory()
 
     wanted = docs.select(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
     fields = [f for f in wanted.schema.fields[:-1]]
