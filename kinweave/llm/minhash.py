@@ -12,15 +12,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import text_key, without
+from kinweave.llm.common import slices_by_bytes, text_key
 from kinweave.llm.subword import split_words
-from kinweave.llm.verify import verified_links
+from kinweave.llm.verify import shingle_sets, verified_links
 from kinweave.operators.components import connected_components
 from kinweave.storage import materialize, shuffle_partitions
 
@@ -195,10 +196,9 @@ def minhash_classes(docs: DataFrame, bands: int = 16, similarity: float = 0.8, k
     known = known.select("key", "text", F.concat(*[F.lpad(F.hex(c), 16, "0") for c in text_key(F.col("text"))]).alias("id"))
 
     @F.pandas_udf("array<long>")
-    def band_hashes(texts):
-        import pandas as pd
-
-        minima = signatures(pa.array(list(texts), pa.string()))
+    def band_hashes(texts: pd.Series) -> pd.Series:
+        own = pa.array(list(texts), pa.string())
+        minima = np.concatenate([signatures(own.slice(a, b - a)) for a, b in slices_by_bytes(own, 2 << 20)] or [np.empty((0, SLOTS), np.uint64)])
         with np.errstate(over="ignore"):
             mixed = _mixed(minima).reshape(len(minima), bands, -1)
             got = np.zeros(mixed.shape[:2], np.uint64)
@@ -208,7 +208,7 @@ def minhash_classes(docs: DataFrame, bands: int = 16, similarity: float = 0.8, k
 
     nodes = materialize(known.groupBy("id").agg(F.min("key").alias("key")), "minhash-nodes")
     banded = known.select("id", F.posexplode(band_hashes("text")).alias("band", "h")).select(F.concat_ws(":", "band", "h").alias("g"), "id").distinct()
-    links = verified_links(banded, known.select("id", "text").dropDuplicates(["id"]), similarity)
+    links = verified_links(banded, shingle_sets(known.select("id", "text").dropDuplicates(["id"])), similarity)
     return _classes(known, nodes, links).withColumnRenamed("key", key)
 
 

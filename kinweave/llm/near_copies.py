@@ -1,7 +1,8 @@
 """Near-duplicate removal for a corpus: SimHash candidates, verified links, one document a class stays.
 
 Several short fingerprints over the distinct words of a text, with independent
-bits, are each matched by ball hashing (see ``simhash``); candidates are
+bits, are each matched by ball hashing (see ``simhash``); the texts of
+fingerprints that balls connect are a candidate group, and candidates are
 verified by the exact Jaccard similarity of five-word shingles.  A fingerprint
 of word shingles itself would move by a fifth of its bits between texts of
 similarity 0.8, far outside any ball that can be enumerated; over distinct
@@ -19,10 +20,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import text_key, without
+from kinweave.llm.common import release_memory, slices_by_bytes, text_key, without
 from kinweave.llm.simhash import ball_links
 from kinweave.llm.subword import split_words
-from kinweave.llm.verify import verified_links
+from kinweave.llm.verify import shingle_sets, verified_links
 from kinweave.operators.components import connected_components
 from kinweave.storage import materialize
 
@@ -58,7 +59,9 @@ def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     @F.pandas_udf("array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(word_prints(pa.array(list(batch), pa.string()))))
+            texts = pa.array(batch, pa.string(), from_pandas=True)
+            yield pd.Series([row for a, b in slices_by_bytes(texts, 2 << 20) for row in word_prints(texts.slice(a, b - a))])
+        release_memory()
 
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in text_key(own)])
@@ -72,22 +75,22 @@ def near_copy_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5,
 
 def _classes(docs: DataFrame, nodes: DataFrame, similarity: float, width: int, text: str) -> DataFrame:
     prints = nodes.select("id", F.posexplode("prints").alias("t", "fp")).distinct()
-    heads = materialize(prints.groupBy("t", "fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")), "near-prints")
-    near = ball_links(heads.select("t", "fp"), RADIUS, BITS, ("t",))
-    a, b = heads.select("t", F.col("fp").alias("a"), F.col("head").alias("head_a")), heads.select("t", F.col("fp").alias("b"), F.col("head").alias("head_b"))
-    pairs = near.join(a, ["t", "a"]).join(b, ["t", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    groups = prints.join(heads.where("n > 1").select("t", "fp"), ["t", "fp"]).select(F.concat_ws(":", "t", "fp").alias("g"), "id")
-    groups = materialize(groups, "near-groups")
-    asked = groups.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    heads = prints.select("t", "fp").distinct()
+    spot = F.concat_ws(":", "t", "fp")
+    # fingerprints that balls connect are one candidate group, however many texts they have
+    near = ball_links(heads, RADIUS, BITS, ("t",)).select(F.concat_ws(":", "t", "a").alias("a"), F.concat_ws(":", "t", "b").alias("b"))
+    parts = connected_components(near, "a", "b")
+    placed = prints.select("id", spot.alias("node")).join(parts, "node", "left").select("id", F.coalesce("component", "node").alias("g")).distinct()
+    placed = materialize(placed, "near-placed")
+    groups = materialize(placed.join(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "g", "left_semi"), "near-groups")
+    asked = groups.select("id").distinct()
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     named = docs.select(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in text_key(own)]).alias("id"), own.alias("text"))
     first = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     texts = named.join(asked, "id", "left_semi")
     if not first.where("n > 1").join(asked, "id", "left_semi").isEmpty():
         texts = texts.dropDuplicates(["id"])
-    texts = materialize(texts, "near-texts")
-    links = verified_links(groups, texts, similarity, width, pairs)
+    links = verified_links(groups, shingle_sets(texts, width), similarity)
     return connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root"))
 
 

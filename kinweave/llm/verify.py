@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from kinweave.llm.common import release_memory
 from kinweave.storage import Stored
 
 SMALL_GROUP = 24
@@ -33,65 +33,131 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The distinct (a, b) of ``pairs`` with the similarity reached or not as ``ok``.  ``texts``: (id, text), one row per id."""
+def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+    """(id, s): the shingle set of every (id, text), hashed once and written to the shared folder.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: OrderedDict[str, np.ndarray] = OrderedDict()
-
-        def of(key: str, text: str) -> np.ndarray:
-            if key in known:
-                known.move_to_end(key)
-            else:
-                known[key] = shingle_set(text, width)
-                if len(known) > 256:
-                    known.popitem(last=False)
-            return known[key]
+    Hashes of 32 bits halve what is moved; in a set of n shingles about
+    n * n / 2**33 of them fall together, one in ten thousand sets of a thousand.
+    """
 
+    @F.pandas_udf("array<int>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            ok = [jaccard(of(r.a, r.text_a), of(r.b, r.text_b)) >= similarity for r in batch.itertuples(index=False)]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "ok": ok})
+            yield pd.Series([np.unique((shingle_set(t, width) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch])
+        release_memory()
+
+    return Stored(texts.select("id", sets("text").alias("s")), "sets").df
+
 
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a string, b string, ok boolean")
+def verify_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ok): whether the sets of each distinct pair reach the Jaccard similarity; two empty sets do."""
+    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    both = first.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    na, nb, k = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    near = F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-9
+    return both.select("a", "b", F.when(near, k >= (na + nb - k) * similarity - 1e-9).otherwise(False).alias("ok"))
 
 
-def verified_links(groups: DataFrame, texts: DataFrame, similarity: float = 0.8, width: int = 5, pairs: DataFrame | None = None) -> DataFrame:
-    """(a, b) links between members of the same candidate group whose texts reach ``similarity``.
+class _Shared:
+    """What the shingle sets of the members of large groups have in common.
 
-    ``groups``: (g, id), distinct; ``pairs``: further candidates (a, b).  In a
-    group of up to SMALL_GROUP members all pairs are verified.  A larger one is
-    a star: every member is verified against the group's least member, and
-    those that are not similar to it form a group of their own for the next
-    round, until each has found its like or few are left to be compared in
-    full.  So work stays in proportion to the members, a group of thousands of
-    copies is never expanded, and only the least members leave each round.
-    Two members that are both similar to the least one are linked through it.
+    ``sizes``: (id, n, c), the size of each set and how many of its shingles
+    occur in another member too.  Two members share min(c) shingles at most, so
+    a similarity of t needs min(c) * (1 + t) >= t * (n + n'): a text that shares
+    too little with any other needs no comparison at all.
     """
-    spark = texts.sparkSession
-    state = Stored(groups, "groups")
-    found: list[DataFrame] = []
-    extra = pairs
-    while True:
-        sizes = state.df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
-        sized = state.df.join(sizes, "g")
-        small = sized.where(F.col("n") <= SMALL_GROUP).select("g", "id")
-        inside = small.select("g", F.col("id").alias("a")).join(small.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b")
-        star = sized.where(F.col("n") > SMALL_GROUP).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-        asked = inside.unionByName(star)
-        if extra is not None:
-            asked = asked.unionByName(extra.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            extra = None
-        checked = Stored(verify_pairs(asked.where("a <> b").distinct(), texts, similarity, width), "verified")
-        found.append(checked.df.where("ok").select("a", "b"))
-        no = checked.df.where("not ok").select(F.col("a").alias("least"), F.col("b").alias("id"))
-        left = sized.where(F.col("n") > SMALL_GROUP).join(no, ["least", "id"]).select("g", "id")
-        rest = Stored(left, "groups")
-        if rest.df.isEmpty():
-            break
-        state = rest
+
+    def __init__(self, members: DataFrame, sets: DataFrame, similarity: float):
+        self.similarity = similarity
+        own = sets.join(members, "id", "left_semi").select("id", F.size("s").alias("n"), F.explode_outer("s").alias("x"))
+        frequency = own.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1 and x is not null")
+        counted = own.join(frequency, "x", "left").withColumn("common", F.col("f").isNotNull().cast("int"))
+        self.shingles = Stored(counted.where("common = 1").select("id", "n", "x", "f"), "shingles").df
+        common = self.shingles.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+        sizes = sets.join(members, "id", "left_semi").select("id", F.size("s").alias("n")).join(common, "id", "left")
+        self.sizes = Stored(sizes.select("id", "n", F.coalesce("c", F.lit(0)).alias("c")), "sizes").df
+
+    def possible(self, c: F.Column, n: F.Column, other: F.Column) -> F.Column:
+        """Whether a set of n with c common shingles can be similar to one of size ``other`` or more."""
+        return c * (1 + self.similarity) + 1e-9 >= (n + other) * self.similarity
+
+    def pairs(self, left: DataFrame) -> DataFrame:
+        """(a, b): candidates between ``left`` and all members by prefix filtering, exact for any data.
+
+        Two sets of Jaccard similarity t share an element among the first
+        n - ceil(t n) + 1 of either, in any common order.  In the order of
+        rising frequency these are the rarest shingles, those of one text alone
+        first, so texts that merely descend from one original rarely meet.  Of
+        the elements from their first common one on, no more than the shorter
+        rest can be shared, which drops a pair whose first is too late.
+        """
+        placed = self.shingles.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("f", "x"))).join(self.sizes.select("id", "c"), "id")
+        need = F.col("n") - F.ceil(F.col("n") * self.similarity - 1e-9) + 1
+        rest = F.col("c") - F.col("place")
+        prefix = Stored(placed.where(F.col("place") <= need - (F.col("n") - F.col("c"))).select("id", "n", "c", "x", rest.alias("r")), "prefixes").df
+        asked = prefix.join(left.select("id").distinct(), "id", "left_semi")
+        i = asked.select(F.col("id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), F.col("r").alias("ri"), "x")
+        j = prefix.select(F.col("id").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"), F.col("r").alias("rj"), "x")
+        close = (F.least("ni", "nj") >= F.greatest("ni", "nj") * self.similarity - 1e-9) & self.possible(F.least("ci", "cj"), F.col("ni"), F.col("nj")) & self.possible(1 + F.least("ri", "rj"), F.col("ni"), F.col("nj"))
+        return i.join(j, "x").where("i <> j").where(close).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def verified_links(groups: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b) links that connect what pairs of similar texts within the candidate groups connect.
+
+    ``groups``: (g, id), distinct; ``sets``: see ``shingle_sets``, one row per
+    id.  In a group of up to SMALL_GROUP members all pairs are verified.  A larger one is a star: every member is
+    verified against the one with the largest share of common shingles, the
+    likely original.  A member that is not similar to it, but shares enough
+    with the others to be similar to any, goes on, in a star again as long as
+    at least a tenth of the group was similar.  What remains is compared by
+    prefix filtering with all members of large groups.  So a group of thousands
+    of copies takes as many comparisons as it has members, and no link is lost:
+    two members similar to one star's centre are linked through it.
+    """
+    state = Stored(groups, "groups").df
+    n_of = state.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    sized = state.join(n_of, "g")
+    small = sized.where(F.col("k") <= SMALL_GROUP).select("g", "id")
+    asked = small.select("g", F.col("id").alias("a")).join(small.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b")
+    found = [Stored(verify_pairs(asked.distinct(), sets, similarity), "verified").df.where("ok").select("a", "b")]
+    large = Stored(sized.where(F.col("k") > SMALL_GROUP).select("g", "id"), "groups").df
+    if not large.isEmpty():
+        found += _large_groups(large, sets, similarity)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()
+
+
+def _large_groups(large: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+    shared = _Shared(Stored(large.select("id").distinct(), "members").df, sets, similarity)
+    members = large.join(shared.sizes, "id")
+    # the least size of the whole group: a partner may have found its centre rounds ago
+    least = members.groupBy("g").agg(F.min("n").alias("least_n"))
+    state = Stored(members.join(least, "g"), "stars").df
+    found: list[DataFrame] = []
+    left: list[DataFrame] = []
+    while True:
+        centre = F.max(F.struct(F.when(F.col("n") > 0, F.col("c") / F.col("n")).otherwise(1.0).alias("share"), "id"))
+        heads = state.groupBy("g").agg(centre.alias("top"), F.count(F.lit(1)).alias("k")).select("g", F.col("top.id").alias("head"), "k")
+        arms = Stored(state.join(heads, "g").where("id <> head"), "arms").df
+        asked = arms.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+        checked = Stored(verify_pairs(asked, sets, similarity), "verified").df
+        found.append(checked.where("ok").select("a", "b"))
+        no = checked.where("not ok").select("a", "b")
+        failed = arms.withColumns({"a": F.least("id", "head"), "b": F.greatest("id", "head")}).join(no, ["a", "b"], "left_semi")
+        stop = failed.groupBy("g").agg((F.count(F.lit(1)) > F.first("k") * 0.9).alias("stop"))
+        open_ = failed.where(shared.possible(F.col("c"), F.col("n"), F.greatest(F.col("least_n"), F.col("n") * similarity)))
+        rest = Stored(open_.join(stop, "g").select("g", "id", "n", "c", "least_n", "stop"), "stars").df
+        left.append(rest.where("stop").select("id"))
+        state = rest.where("not stop").drop("stop")
+        if state.isEmpty():
+            break
+    waiting = left[0]
+    for more in left[1:]:
+        waiting = waiting.unionByName(more)
+    waiting = Stored(waiting.distinct(), "left").df
+    if not waiting.isEmpty():
+        found.append(verify_pairs(shared.pairs(waiting), sets, similarity).where("ok").select("a", "b"))
+    return found
