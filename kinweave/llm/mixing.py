@@ -26,7 +26,7 @@ from kinweave.llm.common import text_key
 from kinweave.storage import materialize
 
 COLLECT_SOURCES = 100_000
-CELL_ROWS = 50_000
+CELL_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -110,25 +110,26 @@ def plan_mix(units: DataFrame, target: Target, total: float | None = None, block
     ``units``: (u1, u2, source, tokens, ...), one row per unit.  Units without
     tokens cost nothing and are emitted in the first epoch alone.  Each source
     and epoch is dealt into hash cells whose sums are added up first, so that a
-    source with most of the rows is no single task's.
+    source with most of the rows is no single task's: n rows of a source make
+    n / max(CELL_ROWS, sqrt(n)) cells, so neither the cells nor the rows of one
+    exceed the square root by much.
     """
-    sources = units.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    sources = units.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     sources = materialize(sources, "mix-sources")
     shares = Shares(sources)
     a = solve_exponent(shares, target, total)
     z, _ = shares.norm_and_entropy(a) if shares.count else (1.0, 0.0)
     budget = shares.budget(a, total) if shares.count else 0.0
-    cells = max(1, math.ceil(units.count() / CELL_ROWS))
     blocks = max(1, math.ceil(budget / block_tokens))
     weight = F.pow(F.col("tokens") / F.lit(shares.total or 1.0), F.lit(a)) / F.lit(z)
     # rounded so that a budget equal to the source's size is not a hair under it
-    plans = sources.select("source", F.col("tokens").alias("source_tokens"), F.ceil(F.lit(budget) * weight - F.lit(1e-6)).cast("long").alias("source_budget"))
+    plans = sources.select("source", F.col("tokens").alias("source_tokens"), F.ceil(F.lit(budget) * weight - F.lit(1e-6)).cast("long").alias("source_budget"), F.ceil(F.col("rows") / F.greatest(F.lit(float(CELL_ROWS)), F.sqrt("rows"))).alias("cells"))
     plans = plans.withColumn("epochs", F.when(F.col("source_tokens") > 0, F.ceil(F.col("source_budget") / F.col("source_tokens"))).otherwise(1).cast("int"))
     joined = units.join(plans, units["source"].eqNullSafe(plans["source"])).drop(plans["source"])
     each = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("epochs") - 1))))
     each = each.withColumn("order", F.xxhash64("u1", "u2", "epoch", F.lit(seed)))
     # cells are consecutive ranges of the order hash, so the permutation runs through them
-    each = each.withColumn("cell", F.expr(f"cast(floor((order / 18446744073709551616D + 0.5D) * {cells}) as int)"))
+    each = each.withColumn("cell", F.expr("cast(floor((order / 18446744073709551616D + 0.5D) * cells) as int)"))
     key = ["source", "epoch", "cell"]
     own = F.sum("tokens").over(Window.partitionBy(*key).orderBy("order", "u1", "u2").rowsBetween(Window.unboundedPreceding, -1))
     sums = each.groupBy(*key).agg(F.sum("tokens").alias("cell_tokens"))
@@ -173,7 +174,9 @@ def mixed_documents(docs: DataFrame, target: Target, total: float | None = None,
     """The rows of ``docs`` as often as the mix emits them, all columns unchanged."""
     units, _ = _units(docs, key, text, source)
     planned, _ = plan_mix(units, target, total, block_tokens, seed)
-    times = planned.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("__kw_times"))
+    times = planned.groupBy(F.col("u1").alias("__kw_u1"), F.col("u2").alias("__kw_u2")).agg(F.count(F.lit(1)).alias("__kw_times"))
     k1, k2 = text_key(F.col(f"`{text}`"))
-    marked = docs.select("*", F.xxhash64(F.col(f"`{key}`"), k1).alias("u1"), F.xxhash64(F.lit("unit"), F.col(f"`{key}`"), F.col(f"`{source}`"), k2).alias("u2"))
-    return marked.join(times, ["u1", "u2"]).withColumn("__kw_times", F.expr("explode(sequence(1, cast(__kw_times as int)))")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*columns, F.xxhash64(F.col(f"`{key}`"), k1).alias("__kw_u1"), F.xxhash64(F.lit("unit"), F.col(f"`{key}`"), F.col(f"`{source}`"), k2).alias("__kw_u2"))
+    repeated = marked.join(times, ["__kw_u1", "__kw_u2"])
+    return repeated.withColumn("__kw_times", F.expr("explode(sequence(1, cast(__kw_times as int)))")).select(*columns)

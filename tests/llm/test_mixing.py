@@ -71,6 +71,7 @@ def test_budget_and_repeated_rows(spark):
 
 def test_documents(spark):
     df, rows = docs(spark)
+    df = df.withColumnRenamed("block", "u1")
     out = mixed_documents(df, Target(repeats=2.0))
     assert out.columns == df.columns
     assert {r["doc_id"] for r in out.collect()} == {k for k, *_ in rows}
