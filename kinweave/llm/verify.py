@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave.llm.common import release_memory
+from kinweave.operators.components import connected_components
 from kinweave.storage import Stored
 
 SMALL_GROUP = 24
@@ -81,9 +82,12 @@ class _Shared:
         """Whether a set of n with c common shingles can be similar to one of size ``other`` or more."""
         return c * (1 + self.similarity) + 1e-9 >= (n + other) * self.similarity
 
-    def pairs(self, left: DataFrame) -> DataFrame:
+    def pairs(self, left: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): candidates between ``left`` and all members by prefix filtering, exact for any data.
 
+        ``classes``: (node, component) of the links known so far; members these
+        connect are no candidates, and a shingle of one class only is not joined.
+
         Two sets of Jaccard similarity t share an element among the first
         n - ceil(t n) + 1 of either, in any common order.  In the order of
         rising frequency these are the rarest shingles, those of one text alone
@@ -94,12 +98,16 @@ class _Shared:
         placed = self.shingles.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("f", "x"))).join(self.sizes.select("id", "c"), "id")
         need = F.col("n") - F.ceil(F.col("n") * self.similarity - 1e-9) + 1
         rest = F.col("c") - F.col("place")
-        prefix = Stored(placed.where(F.col("place") <= need - (F.col("n") - F.col("c"))).select("id", "n", "c", "x", rest.alias("r")), "prefixes").df
+        rows = placed.where(F.col("place") <= need - (F.col("n") - F.col("c"))).select("id", "n", "c", "x", rest.alias("r"))
+        named = rows.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        prefix = Stored(named, "prefixes").df
+        mixed = prefix.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("x")
+        prefix = Stored(prefix.join(mixed, "x", "left_semi"), "prefixes").df
         asked = prefix.join(left.select("id").distinct(), "id", "left_semi")
-        i = asked.select(F.col("id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), F.col("r").alias("ri"), "x")
-        j = prefix.select(F.col("id").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"), F.col("r").alias("rj"), "x")
+        i = asked.select(F.col("id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"), F.col("r").alias("ri"), F.col("component").alias("hi"), "x")
+        j = prefix.select(F.col("id").alias("j"), F.col("n").alias("nj"), F.col("c").alias("cj"), F.col("r").alias("rj"), F.col("component").alias("hj"), "x")
         close = (F.least("ni", "nj") >= F.greatest("ni", "nj") * self.similarity - 1e-9) & self.possible(F.least("ci", "cj"), F.col("ni"), F.col("nj")) & self.possible(1 + F.least("ri", "rj"), F.col("ni"), F.col("nj"))
-        return i.join(j, "x").where("i <> j").where(close).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+        return i.join(j, "x").where("hi <> hj").where(close).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def verified_links(groups: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -110,10 +118,13 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float = 0.8)
     verified against the one with the largest share of common shingles, the
     likely original.  A member that is not similar to it, but shares enough
     with the others to be similar to any, goes on, in a star again as long as
-    at least a tenth of the group was similar.  What remains is compared by
-    prefix filtering with all members of large groups.  So a group of thousands
-    of copies takes as many comparisons as it has members, and no link is lost:
-    two members similar to one star's centre are linked through it.
+    at least a tenth of the group was similar.  Every member that failed any
+    centre, later centres and those similar to one included, is then compared
+    by prefix filtering with all members of large groups that the links so far
+    do not connect to it.  So a group of thousands of copies takes as many
+    comparisons as it has members, and no link is lost: of two similar members
+    either both are similar to the first centre and linked through it, or one
+    failed it and is compared with the other.  Sets without shingles are equal.
     """
     state = Stored(groups, "groups").df
     n_of = state.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -123,23 +134,26 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float = 0.8)
     found = [Stored(verify_pairs(asked.distinct(), sets, similarity), "verified").df.where("ok").select("a", "b")]
     large = Stored(sized.where(F.col("k") > SMALL_GROUP).select("g", "id"), "groups").df
     if not large.isEmpty():
-        found += _large_groups(large, sets, similarity)
+        found += _large_groups(large, sets, similarity, found[0])
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
-def _large_groups(large: DataFrame, sets: DataFrame, similarity: float) -> list[DataFrame]:
+def _large_groups(large: DataFrame, sets: DataFrame, similarity: float, known: DataFrame) -> list[DataFrame]:
+    """Links within the large groups; ``known``: (a, b) links of the small ones."""
     shared = _Shared(Stored(large.select("id").distinct(), "members").df, sets, similarity)
-    members = large.join(shared.sizes, "id")
+    empty = shared.sizes.where("n = 0").select("id")
+    # one row in all: the least text without shingles
+    found = [empty.join(F.broadcast(empty.agg(F.min("id").alias("a"))), F.col("id") > F.col("a")).select("a", F.col("id").alias("b"))]
+    members = large.join(shared.sizes.where("n > 0"), "id")
     # the least size of the whole group: a partner may have found its centre rounds ago
     least = members.groupBy("g").agg(F.min("n").alias("least_n"))
     state = Stored(members.join(least, "g"), "stars").df
-    found: list[DataFrame] = []
-    left: list[DataFrame] = []
+    waiting = None
     while True:
-        centre = F.max(F.struct(F.when(F.col("n") > 0, F.col("c") / F.col("n")).otherwise(1.0).alias("share"), "id"))
+        centre = F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "id"))
         heads = state.groupBy("g").agg(centre.alias("top"), F.count(F.lit(1)).alias("k")).select("g", F.col("top.id").alias("head"), "k")
         arms = Stored(state.join(heads, "g").where("id <> head"), "arms").df
         asked = arms.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
@@ -150,14 +164,16 @@ def _large_groups(large: DataFrame, sets: DataFrame, similarity: float) -> list[
         stop = failed.groupBy("g").agg((F.count(F.lit(1)) > F.first("k") * 0.9).alias("stop"))
         open_ = failed.where(shared.possible(F.col("c"), F.col("n"), F.greatest(F.col("least_n"), F.col("n") * similarity)))
         rest = Stored(open_.join(stop, "g").select("g", "id", "n", "c", "least_n", "stop"), "stars").df
-        left.append(rest.where("stop").select("id"))
+        # whoever is in a later star failed the first one, so the first round names all
+        if waiting is None:
+            waiting = Stored(rest.select("id").distinct(), "left").df
         state = rest.where("not stop").drop("stop")
         if state.isEmpty():
             break
-    waiting = left[0]
-    for more in left[1:]:
-        waiting = waiting.unionByName(more)
-    waiting = Stored(waiting.distinct(), "left").df
     if not waiting.isEmpty():
-        found.append(verify_pairs(shared.pairs(waiting), sets, similarity).where("ok").select("a", "b"))
+        links = known
+        for more in found:
+            links = links.unionByName(more)
+        classes = connected_components(links, "a", "b")
+        found.append(verify_pairs(shared.pairs(waiting, classes), sets, similarity).where("ok").select("a", "b"))
     return found

@@ -90,6 +90,31 @@ def test_large_groups_lose_no_link(spark):
     assert got == want
 
 
+def test_large_groups_copies_of_copies(spark):
+    """A text near a copy but not near the centre, and copies of such copies: components as of all pairs."""
+    rng = random.Random(6)
+    fresh = iter(range(100_000, 200_000))
+
+    def changed(s, n):
+        return frozenset(rng.sample(sorted(s), len(s) - n)) | {next(fresh) for _ in range(n)}
+
+    h = frozenset(range(100))
+    near = changed(h, 10)  # 90 of 110
+    far = (near - set(rng.sample(sorted(near & h), 10))) | {next(fresh) for _ in range(10)}  # 90 of 110, and 80 of 120 with h
+    chain = [h]
+    for _ in range(8):
+        chain.append(changed(rng.choice(chain[-3:]), 10))
+    blank = [frozenset()] * 3
+    made = {"first": [h, near, far] + [changed(h, 3) for _ in range(SMALL_GROUP)], "chain": chain + [changed(rng.choice(chain), 4) for _ in range(3 * SMALL_GROUP)] + blank}
+    for group, sets in made.items():
+        named = {f"{group}{i:03d}": s for i, s in enumerate(sets)}
+        named = {("z" if s == h else "") + k: s for k, s in named.items()}
+        want = closure(sorted(named), lambda a, b: len(named[a] & named[b]) >= 0.8 * len(named[a] | named[b]))
+        frame = spark.createDataFrame([(k, sorted(s)) for k, s in named.items()], "id string, s array<int>")
+        pairs = {(r["a"], r["b"]) for r in verified_links(frame.selectExpr("'g' as g", "id"), frame).collect()}
+        assert closure(sorted(named), lambda a, b: (min(a, b), max(a, b)) in pairs) == want, group
+
+
 def test_drop_near_copies(spark):
     rng = random.Random(8)
     base = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(150)) for _ in range(20)]
