@@ -1,13 +1,15 @@
 """Near-duplicate removal for a corpus: SimHash candidates, verified links, one document a class stays.
 
-Several short fingerprints over the distinct words of a text, with independent
-bits, are each matched by ball hashing (see ``simhash``); the texts of
-fingerprints that balls connect are a candidate group, and candidates are
-verified by the exact Jaccard similarity of five-word shingles.  A fingerprint
-of word shingles itself would move by a fifth of its bits between texts of
-similarity 0.8, far outside any ball that can be enumerated; over distinct
-words such texts differ in about 7 bits of 100, so each of six 40-bit
-fingerprints has them within two bits with a chance over one half.
+Candidates come from two sources.  Several short fingerprints over the distinct
+words of a text, with independent bits, are each matched by ball hashing (see
+``simhash``); the texts of fingerprints that balls connect are a candidate
+group.  They bring copies together, but at a similarity of 0.8 a pair may be
+missed, above all where a whole block was added or replaced.  So the MinHash
+slots of the verified shingles are cut into bands of three, and the texts that
+share a band are a candidate group too: whatever the edit, a pair of Jaccard
+similarity J misses all 21 bands with a chance of (1 - J**3)**21, which is
+3 in 10 million at 0.8.  Candidates are verified by the exact Jaccard similarity
+of five-word shingles.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.common import release_memory, slices_by_bytes, text_key, without
+from kinweave.llm.minhash import signatures
 from kinweave.llm.simhash import ball_links
 from kinweave.llm.subword import split_words
 from kinweave.llm.verify import shingle_sets, verified_links
@@ -28,6 +31,7 @@ from kinweave.operators.components import connected_components
 from kinweave.storage import materialize
 
 TABLES, BITS, RADIUS = 6, 40, 2
+BANDS, BAND_SLOTS = 21, 3
 _ODD = np.array([0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1E * t for t in range(TABLES)], object)
 _TURN = np.array([int(x) | 1 for x in _ODD % (1 << 64)], np.uint64)
 
@@ -53,24 +57,37 @@ def word_prints(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, id, prints) for every row; ``id`` stands for the text."""
+def band_values(texts: pa.Array, width: int = 5) -> np.ndarray:
+    """(texts, BANDS) values that texts share where all slots of a band are equal."""
+    slots = signatures(texts, width)[:, : BANDS * BAND_SLOTS].reshape(len(texts), BANDS, BAND_SLOTS)
+    out = np.zeros(slots.shape[:2], np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(BAND_SLOTS):
+            out = (out ^ slots[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
-    @F.pandas_udf("array<long>")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _nodes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, id, prints, bands) for every row; ``id`` stands for the text."""
+
+    @F.pandas_udf("prints array<long>, bands array<long>")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = pa.array(batch, pa.string(), from_pandas=True)
-            yield pd.Series([row for a, b in slices_by_bytes(texts, 2 << 20) for row in word_prints(texts.slice(a, b - a))])
+            parts = [texts.slice(a, b - a) for a, b in slices_by_bytes(texts, 2 << 20)]
+            yield pd.DataFrame({"prints": [row for p in parts for row in word_prints(p)], "bands": [row for p in parts for row in band_values(p, width)]})
         release_memory()
 
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in text_key(own)])
-    return materialize(docs.select(F.col(f"`{key}`").alias("key"), name.alias("id"), prints(own).alias("prints")), "near-nodes")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), name.alias("id"), marks(own).alias("marks"))
+    return materialize(rows.select("key", "id", "marks.prints", "marks.bands"), "near-nodes")
 
 
 def near_copy_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, root): texts that have a near copy, by text name, and a name for their class."""
-    return _classes(docs, _nodes(docs, key, text), similarity, width, text)
+    return _classes(docs, _nodes(docs, key, text, width), similarity, width, text)
 
 
 def _classes(docs: DataFrame, nodes: DataFrame, similarity: float, width: int, text: str) -> DataFrame:
@@ -81,7 +98,8 @@ def _classes(docs: DataFrame, nodes: DataFrame, similarity: float, width: int, t
     near = ball_links(heads, RADIUS, BITS, ("t",)).select(F.concat_ws(":", "t", "a").alias("a"), F.concat_ws(":", "t", "b").alias("b"))
     parts = connected_components(near, "a", "b")
     placed = prints.select("id", spot.alias("node")).join(parts, "node", "left").select("id", F.coalesce("component", "node").alias("g")).distinct()
-    placed = materialize(placed, "near-placed")
+    banded = nodes.select("id", F.posexplode("bands").alias("t", "h")).select("id", F.concat_ws(":", F.lit("band"), "t", "h").alias("g")).distinct()
+    placed = materialize(placed.unionByName(banded), "near-placed")
     groups = materialize(placed.join(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "g", "left_semi"), "near-groups")
     asked = groups.select("id").distinct()
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -101,7 +119,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, k
     text one stays.  Null keys come last; of rows equal in key and text one
     stays.  An empty table stays empty; columns are kept.
     """
-    nodes = _nodes(docs, key, text)
+    nodes = _nodes(docs, key, text, width)
     classes = _classes(docs, nodes, similarity, width, text)
     rooted = nodes.groupBy("id").agg(F.min("key").alias("key")).join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id"))

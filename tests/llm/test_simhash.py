@@ -3,7 +3,7 @@ import re
 
 import xxhash
 
-from kinweave.llm.near_copies import drop_near_copies
+from kinweave.llm.near_copies import drop_near_copies, near_copy_classes
 from kinweave.llm.simhash import simhash, simhash_components
 from kinweave.llm.verify import SMALL_GROUP, jaccard, shingle_set, shingle_sets, verified_links
 
@@ -127,3 +127,28 @@ def test_drop_near_copies(spark):
     kept = drop_near_copies(spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, __kw_id int").drop("__kw_id")).collect()
     assert sorted(r["doc_id"] for r in kept) == [*range(20), 300]
     assert drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_block_edits_are_found(spark):
+    """Appended, inserted and replaced blocks at a similarity just above 0.8, short and long: recall against brute force."""
+    rng = random.Random(12)
+    vocabulary, weights = [f"w{i}" for i in range(20_000)], [1 / (i + 3) for i in range(20_000)]
+
+    def prose(n):
+        return rng.choices(vocabulary, weights, k=n)
+
+    pairs = []
+    for size in [60, 100, 200, 1000, 4000] * 24:
+        w = prose(size)
+        at = size // 3
+        more, less = prose(int(size * 0.18)), prose(int(size * 0.06))
+        for other in (w + more, w[:at] + more[: len(more) * 4 // 5] + w[at:], w[:at] + less + w[at + len(less) :]):
+            a, b = " ".join(w), " ".join(other)
+            if jaccard(shingle_set(a, 5), shingle_set(b, 5)) >= 0.8:
+                pairs.append((a, b))
+    assert len(pairs) >= 300
+    docs = spark.createDataFrame(list(enumerate(sorted({t for p in pairs for t in p}))), "doc_id long, text string")
+    roots = {r["id"]: r["root"] for r in near_copy_classes(docs).collect()}
+    names = {r["text"]: r["id"] for r in docs.selectExpr("text", "concat(lpad(hex(xxhash64(text)), 16, '0'), lpad(hex(xxhash64('kw', text)), 16, '0')) as id").collect()}
+    missed = [(len(a.split()), len(b.split())) for a, b in pairs if names[a] not in roots or roots[names[a]] != roots.get(names[b])]
+    assert not missed, (len(missed), len(pairs))
