@@ -44,3 +44,13 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.queries())
+
+
+def test_contributions_of_every_pair(spark):
+    from kinweave.plans.rule_queries import candidates
+
+    _, c = candidates(spark, FOLDER)
+    pairs = [tuple(r) for r in c.select("id_a", "id_b").distinct().collect()]
+    got = entry.queries()["op_m14_contributions"](spark, FOLDER).select("id_a", "id_b").distinct().collect()
+    assert max(a for a, _ in pairs) >= "R00001000"
+    assert {tuple(r) for r in got} == set(pairs)
