@@ -12,7 +12,8 @@ Doubling stops at the depth of the least run that counts.  Going on would not
 change what is deleted: a repeated run of L >= m lines holds the repeated runs
 of m lines starting at its first L-m+1 lines, which cover it, and each of these
 has its earlier copy inside the earlier copy of the run.  Adjacent deletions
-are then joined to maximal runs.  Everything is DataFrame or SQL operations.
+are then joined to islands, which is what run counts and lengths are of: an
+island may hold runs of several earlier documents.  Everything is DataFrame or SQL operations.
 """
 
 from __future__ import annotations
