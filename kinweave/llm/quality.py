@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinweave.llm.common import release_memory
-from kinweave.llm.subword import Settings, labelled_sample, train
+from kinweave.llm.subword import Settings, labelled_sample, train_bags
 from kinweave.llm.toxicity import _scored
 
 SETTINGS = Settings(lower=False, ngrams=(2, 3), pad=20, repeats=True, max_train=3_000)
@@ -27,13 +27,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTI
     Learns ``quality`` as ``toxicity.score_toxicity`` learns ``toxic``; the same
     rules hold for nulls, empty texts, repeated rows and clashing names.
     """
-    model = train(*labelled_sample(docs, labels, "quality", folds, fold, settings, key, text), settings)
+    model = train_bags(*labelled_sample(docs, labels, "quality", folds, fold, settings, key, text), settings)
     return _scored(docs, model, folds, fold, key, text)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS, folds: int = FOLDS, fold: int = HELD_OUT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose quality score is at least 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", folds, fold, settings, key, text), settings))
+    shared = docs.sparkSession.sparkContext.broadcast(train_bags(*labelled_sample(docs, labels, "quality", folds, fold, settings, key, text), settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,10 +15,12 @@ so each distinct word of a batch is hashed once.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -42,7 +44,7 @@ class Settings:
     rate: float = 0.25
     seed: int = 7
     max_train: int = 6000  # labelled rows at most, by hash order
-    max_train_words: int = 256  # words of a training row at most, drawn evenly over the text
+    max_train_words: int | None = None  # None: whole texts; else words of a training row at most, drawn evenly over the text
     balance: bool = True
     pad: int = 20  # times the feature PAD joins the average of every document, so that a few words decide little
     repeats: bool = False  # a word equal to the one before it also gives the feature REPEAT
@@ -160,37 +162,73 @@ class Model:
 
 
 def thinned(text: str | None, s: Settings) -> str:
-    """The words (and REPEAT marks) of a text, ``max_train_words`` of them at most, drawn evenly."""
+    """The words (and REPEAT marks) of a text, all or ``max_train_words`` of them at most, drawn evenly."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if s.repeats:
         mark = REPEAT.encode()
         words = [x for i, w in enumerate(words) for x in ((w, mark) if i and w == words[i - 1] else (w,))]
-    if len(words) > s.max_train_words:
+    if s.max_train_words is not None and len(words) > s.max_train_words:
         words = [words[i] for i in np.linspace(0, len(words) - 1, s.max_train_words).astype(np.int64)]
     return b" ".join(words).decode("utf-8", "surrogatepass")
 
 
+Bag = tuple[str, bytes]
+
+
+def bag(text: str | None) -> Bag:
+    """The distinct words of a text, joined by spaces, and the bytes of how often each comes, as int32."""
+    times = Counter((text or "").encode("utf-8", "surrogatepass").split())
+    return b" ".join(times).decode("utf-8", "surrogatepass"), np.fromiter(times.values(), np.int32, len(times)).tobytes()
+
+
+def _coded(bags: list[Bag], lower: bool) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """(distinct words of all bags, (words by number, times) of each bag), coded by slices of bounded size."""
+    known: dict[str, int] = {}
+    out = []
+    texts = pa.array([words for words, _ in bags], pa.large_string())
+    for at, to in slices_by_bytes(texts, 2 << 20):
+        coded, first = split_words(texts.slice(at, to - at), lower)
+        number = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int32)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        for i in range(at, to):
+            kinds, inverse = np.unique(number[code[first[i - at] : first[i - at + 1]]], return_inverse=True)
+            times = np.bincount(inverse, np.frombuffer(bags[i][1], np.int32), len(kinds))
+            out.append((kinds, times.astype(np.int32)))
+    return list(known), out
+
+
 def train(texts: list[str], labels: list[int], s: Settings) -> Model:
-    """Fit vectors and output weights to thinned texts; without both classes the score is the share of label 1."""
+    """Fit to whole texts as given; see ``train_bags``."""
+    return train_bags([bag(t) for t in texts], labels, s)
+
+
+def train_bags(bags: list[Bag], labels: list[int], s: Settings) -> Model:
+    """Fit vectors and output weights to bags of words; without both classes the score is the share of label 1.
+
+    Only words and their times are held for every text; its features are
+    expanded each time it is read, so memory does not grow with them.
+    """
     y = np.array(labels, np.int64)
     if not len(y) or y.min(initial=1) == y.max(initial=0):
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(s, np.zeros(s.buckets, np.float64), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)
-    coded, first = split_words(pa.array(texts, pa.string()), s.lower)
-    words, code = [*coded.dictionary.to_pylist(), PAD], coded.indices.to_numpy(zero_copy_only=False)
+    known, docs = _coded(bags, s.lower)
+    words = [*known, PAD]
     parts = [word_features([w.encode("utf-8", "surrogatepass") for w in words[i : i + 32768]], s) for i in range(0, len(words), 32768)]
     feats, counts = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([c for _, c in parts])
     begin = np.cumsum(counts) - counts
-    docs = []
-    for i in range(len(texts)):
-        own = code[first[i] : first[i + 1]]
-        kinds, times = np.unique(np.append(own, np.full(s.pad, len(words) - 1)), return_counts=True)
+
+    def expanded(kinds: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = times.sum() + s.pad
+        if s.pad:
+            kinds, times = np.append(kinds, len(words) - 1), np.append(times, s.pad)
         c = counts[kinds]
         at = np.repeat(begin[kinds] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        share = np.repeat(times / c / max(1, len(own) + s.pad), c)
+        share = np.repeat(times / c / max(1, n), c)
         bucket, inverse = np.unique(feats[at], return_inverse=True)
-        docs.append((bucket.astype(np.int32), np.bincount(inverse, share, len(bucket)).astype(np.float16)))
+        return bucket, np.bincount(inverse, share, len(bucket)).astype(np.float32)
+
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     squares = np.full(s.buckets, 1e-4, np.float32)
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
@@ -200,7 +238,7 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs)
         for i in rng.permutation(len(docs)):
-            bucket, share = docs[i][0], docs[i][1].astype(np.float32)
+            bucket, share = expanded(*docs[i])
             hidden = share @ vectors[bucket]
             z = out @ hidden + bias
             p = np.exp(z - z.max())
@@ -225,8 +263,8 @@ def held_out(key: object, folds: int, fold: int) -> bool:
     return zlib.crc32(str(key).encode()) % folds == fold
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, s: Settings, key: str = "doc_id", text: str = "text") -> tuple[list[str | None], list[int]]:
-    """Texts and labels of the first ``max_train`` training rows in hash order of the key.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, s: Settings, key: str = "doc_id", text: str = "text") -> tuple[list[Bag], list[int]]:
+    """Bags of the whole texts and labels of the first ``max_train`` training rows in hash order of the key.
 
     Rows of the held-out fold are never read; rows without a key or a label of
     0 or 1 are no training rows.  The bound is the size of what the driver gets.
@@ -240,16 +278,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
         .orderBy(F.xxhash64("key"), "key", "label")
         .limit(s.max_train)
     )
-    thin = F.pandas_udf(lambda texts: texts.map(lambda t: thinned(t, s)), "string")
-    # max_train narrow rows: the broadcast is bounded, and so is what the driver collects
+
+    @F.pandas_udf("words string, times binary")
+    def bagged(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([bag(thinned(t, s)) for t in texts], columns=["words", "times"])
+
+    # max_train rows: the broadcast is bounded, and the driver collects the distinct words of that many texts
     rows = (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), "key")
-        .select("key", "label", thin("text").alias("text"))
+        .select("key", "label", bagged("text").alias("bag"))
+        .select("key", "label", "bag.words", "bag.times")
         .collect()
     )
-    rows.sort(key=lambda r: (r["key"], r["label"], r["text"]))
-    return [r["text"] for r in rows], [r["label"] for r in rows]
+    rows.sort(key=lambda r: (r["key"], r["label"], r["words"], bytes(r["times"])))
+    return [(r["words"], bytes(r["times"])) for r in rows], [r["label"] for r in rows]
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

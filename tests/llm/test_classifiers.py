@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from kinweave.llm.quality import keep_quality, score_quality
-from kinweave.llm.subword import Settings, held_out, split_words, thinned, train, word_features
+from kinweave.llm.subword import Settings, held_out, labelled_sample, split_words, thinned, train, word_features
 from kinweave.llm.toxicity import score_toxicity
 
 SMALL = Settings(buckets=1 << 14, max_train=800, epochs=8)
@@ -85,3 +85,23 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert score_toxicity(docs, none, SMALL).first()["score"] == 0.5
     assert score_quality(docs.limit(0), none, SMALL).collect() == []
+
+
+def test_rare_words_of_long_labelled_texts_are_learnt(spark):
+    """The one word that tells stands in no place that an even draw of 256 words reads."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(plain) for _ in range(3000)]
+        drawn = set(np.linspace(0, 2999, 256).astype(int).tolist())
+        if i % 2:
+            for at in rng.sample([j for j in range(3000) if j not in drawn], 40):
+                words[at] = "scumbag"
+        rows.append((i, " ".join(words), i % 2))
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    bags, _ = labelled_sample(docs, labels, "toxic", 5, 0, SMALL)
+    assert sum("scumbag" in words.split() for words, _ in bags) == sum(y for k, _, y in rows if not held_out(k, 5, 0))
+    got = {r["doc_id"]: r for r in score_toxicity(docs, labels, SMALL).collect()}
+    assert np.mean([got[k]["predicted"] == y for k, _, y in rows if got[k]["held_out"]]) > 0.9
