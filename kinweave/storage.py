@@ -2,18 +2,22 @@
 
 Iterative operators write their state as Parquet below the folder named by
 ``spark.checkpoint.dir`` and read it back.  Unlike a local checkpoint the files
-survive the loss of any executor.  Where the setting is missing (tests, a
-laptop) a temporary folder of the driver is used, and only there.
+survive the loss of any executor.  Where the setting is missing a temporary
+folder of the driver is used in local mode; on a cluster that is an error,
+since executors would each write to their own disk.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+_SCOPES: list[Scope] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="kinweave-")
@@ -40,6 +47,8 @@ class Stored:
         schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
+        if _SCOPES:
+            _SCOPES[-1].made.append(self)
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -47,6 +56,36 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scope:
+    """The tables written within a ``scratch`` block."""
+
+    def __init__(self) -> None:
+        self.made: list[Stored] = []
+        self.kept: list[Stored] = []
+
+    def keep(self, df: DataFrame, tag: str = "table") -> DataFrame:
+        """Write a result that outlives the block (it belongs to the block around, if there is one)."""
+        out = Stored(df, tag)
+        self.made.remove(out)
+        self.kept.append(out)
+        return out.df
+
+
+@contextmanager
+def scratch() -> Iterator[Scope]:
+    """All tables written in the block are removed at its end, but those that ``keep`` wrote."""
+    scope = Scope()
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.pop()
+        for table in scope.made:
+            table.drop()
+        if _SCOPES:
+            _SCOPES[-1].made.extend(scope.kept)
+
+
 def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads the files."""
     return Stored(df, tag).df
