@@ -29,6 +29,24 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("kw"), text)]
 
 
+HOT_SHARE, HOT_LEAST, SALTS = 10_000, 10_000, 64
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, total: int, how: str = "inner") -> DataFrame:
+    """Equi-join (inner or left) of ``rows`` with a table that is unique in ``on`` and not null there; the column ``members`` is dropped.
+
+    ``members`` says how many of the ``total`` rows each key has.  Keys with
+    more than a HOT_SHARE-th of all rows are HOT_SHARE at most; they are
+    broadcast to mark their rows, which are then dealt by a salt, and the keys
+    are copied once for each salt.
+    """
+    hot = F.col(members) > max(HOT_LEAST, total // HOT_SHARE)
+    marks = unique.where(hot).select(*on, F.lit(True).alias("__kw_hot"))
+    dealt = rows.join(F.broadcast(marks), on, "left").withColumn("__kw_salt", F.when(F.col("__kw_hot"), (F.rand(11) * SALTS).cast("int")).otherwise(0)).drop("__kw_hot")
+    copies = unique.withColumn("__kw_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(members)
+    return dealt.join(copies, [*on, "__kw_salt"], how).drop("__kw_salt")
+
+
 def slices_by_bytes(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``limit`` bytes of text, at least one row each: what is derived from a batch at once stays bounded."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))

@@ -1,74 +1,157 @@
-"""Removal of repeated line runs by a suffix array over line IDs.
+"""Removal of repeated line runs by a suffix array over line-ID sequences.
 
-Every line of every document is a letter; a suffix is the rest of its document
+Every line of every distinct text is a letter; a suffix is the rest of its text
 from some line on.  Prefix doubling ranks the suffixes by their first 1, 2, 4,
 ... lines: the rank at depth 2d of line i is the sorted number of the pair
-(rank at i, rank at i+d).  Suffixes of one rank at depth m form the interval of
-the suffix array in which neighbours share a prefix of m lines or more; its
-first member in document order is the original, the later ones are copies.
-Only suffixes whose interval has several members go into the next round.
-
-Doubling stops at the depth of the least run that counts.  Going on would not
-change what is deleted: a repeated run of L >= m lines holds the repeated runs
-of m lines starting at its first L-m+1 lines, which cover it, and each of these
-has its earlier copy inside the earlier copy of the run.  Adjacent deletions
-are then joined to islands, which is what run counts and lengths are of: an
-island may hold runs of several earlier documents.  Everything is DataFrame or SQL operations.
+(rank at i, rank at i+d).  Suffixes of one rank at depth m are an interval of
+the suffix array whose neighbours have a longest common prefix of m lines or
+more; its first member in document order is the original, the others are
+copies.  Doubling goes on until every interval has a single member, and a
+suffix that is alone takes no further part.
+
+The longest common prefix of a copy with anything earlier lies between two
+depths then.  Its exact length is found by halving: with the steps ..., 4, 2, 1
+the members of an interval are split by the rank of the lines that follow.  A
+copy that agrees with an earlier member moves on into the narrower interval,
+with that interval's first member as its witness; the others stay, and since
+the first of a narrower interval stays too, it answers for all that moved.  So
+a suffix is in one interval at a time, besides at most one witness row an
+interval, and no pairs of suffixes are formed.
+
+Equal texts are one text here: a later copy of a text is one run from end to
+end.  Everything is DataFrame or SQL operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinweave.llm.common import global_row_numbers, text_key, without
-from kinweave.storage import materialize
+from kinweave.llm.common import join_hot, text_key, without
+from kinweave.operators.ranking import global_rank
+from kinweave.storage import materialize, scratch
 
 DOC = ["__kw_doc", "__kw_k1", "__kw_k2"]
-POSITION = [*DOC, "line"]
 
 
-def _ranked(suffixes: DataFrame, parts: list[str]) -> DataFrame:
-    """Replace the columns ``parts`` by the rank of their values among those that several suffixes have."""
-    classes = (
-        suffixes.groupBy(*parts)
-        .agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(*POSITION)).alias("first"))
-        .where("members > 1")
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key and hashes of the text, its lines as hashes and word counts) for every row that has a text."""
+    own = F.col(f"`{text}`")
+    lines = F.expr(
+        f"transform(split(`{text}`, '\\n'), l -> named_struct('h1', xxhash64(l), 'h2', xxhash64('kw', l), 'words', cast(regexp_count(l, '\\\\S+') as int)))"
     )
-    ranks = global_row_numbers(classes.select(*parts, "first"), parts, "rank")
-    kept = [c for c in suffixes.columns if c not in (*parts, "rank", "first")]
-    return materialize(suffixes.join(ranks, parts).select(*kept, ranks["rank"], ranks["first"]), "suffixes")
+    return docs.where(own.isNotNull()).select(F.col(f"`{key}`").alias(DOC[0]), *[c.alias(n) for c, n in zip(text_key(own), DOC[1:])], lines.alias("lines"))
 
 
-def _at(step: int, column: str) -> F.Column:
+def _is_first() -> Column:
+    return F.struct("doc", "line") == F.col("first")
+
+
+def _ranked(suffixes: DataFrame, parts: list[str], total: int) -> DataFrame:
+    """(doc, line, rank, first, any): the suffixes whose ``parts`` several have, with the sorted number of the parts."""
+    classes = suffixes.groupBy(*parts).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc", "line")).alias("first")).where("members > 1")
+    ranks = global_rank(classes, parts, "rank")
+    return materialize(join_hot(suffixes, ranks, parts, "members", total).select("doc", "line", "rank", "first", "any"), "suffixes")
+
+
+def _ahead(step: int, column: str) -> Column:
     """The value of ``column`` exactly ``step`` lines on, null where that suffix has no rank."""
-    return F.max(column).over(Window.partitionBy(*DOC).orderBy("line").rangeBetween(step, step))
+    return F.max(column).over(Window.partitionBy("doc").orderBy("line").rangeBetween(step, step))
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key and two text hashes as ``__kw_*``, start, n_lines) of every maximal run of lines to delete.
+def _levels(lines: DataFrame, total: int) -> list[DataFrame]:
+    """The ranks at depth 1, 2, 4, ... of all suffixes that share so many lines with another."""
+    levels: list[DataFrame] = []
+    level = _ranked(lines, ["h1", "h2"], total)
+    while not level.isEmpty():
+        levels.append(level)
+        step = 1 << (len(levels) - 1)
+        pairs = level.select("doc", "line", F.col("rank").alias("rank1"), _ahead(step, "rank").alias("rank2"), (F.col("any") | _ahead(step, "any")).alias("any"))
+        level = _ranked(pairs.where("rank2 is not null"), ["rank1", "rank2"], total)
+    return levels
+
 
-    A run counts if it has at least ``min_lines`` lines with a word among them,
-    or is a line of at least ``min_words`` words; it is deleted wherever an
-    equal run stands earlier in (document, line) order, in the same document or
-    another.
+def _copies(levels: list[DataFrame], total: int) -> DataFrame:
+    """(doc, line, length, any) of every suffix that shares lines with an earlier one: the length of the longest shared prefix.
+
+    State rows are (doc, line, asks, length, any, n1, n2): the members of the
+    intervals named by (n1, n2); the first of an interval answers and asks nothing.
+    """
+    state: DataFrame | None = None
+    done: list[DataFrame] = []
+    kept = F.struct("asks", "length", "any", "n1", "n2")
+    for k in range(len(levels) - 1, -1, -1):
+        own = levels[k]
+        if k + 1 < len(levels):  # copies at the next depth have their length there; its firsts answer for them here
+            own = own.join(levels[k + 1].where(~_is_first()).select("doc", "line"), ["doc", "line"], "left_anti")
+        rows = own.select("doc", "line", (~_is_first()).alias("asks"), F.lit(1 << k).alias("length"), "any", F.xxhash64(F.lit(k), "rank").alias("n1"), F.xxhash64("rank", F.lit(k)).alias("n2"))
+        if k == 0:  # nothing is shorter than a step of 1
+            done.append(rows.where("asks"))
+            break
+        state = rows if state is None else state.unionByName(rows)
+        step = levels[k - 1].select(F.col("doc").alias("d"), F.col("line").alias("l"), F.col("rank").alias("next"), F.col("any").alias("more"))
+        looked = state.join(step, (F.col("doc") == F.col("d")) & (F.col("line") + F.col("length") == F.col("l")), "left").drop("d", "l")
+        narrow = looked.where("next is not null").groupBy("n1", "n2", "next").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc", "line")).alias("first")).where("members > 1")
+        met = join_hot(looked, narrow, ["n1", "n2", "next"], "members", total, "left")
+        inner = F.struct(
+            (~_is_first()).alias("asks"), (F.col("length") + F.lit(1 << (k - 1))).alias("length"), (F.col("any") | F.col("more")).alias("any"),
+            F.xxhash64(F.lit(k), "n1", "n2", "next").alias("n1"), F.xxhash64("next", "n2", "n1", F.lit(k)).alias("n2"),
+        )
+        # a copy moves; the first of the narrower interval stays where it is and is in the narrower one as well
+        places = F.when(F.col("first").isNull(), F.array(kept)).when(_is_first(), F.array(kept, inner)).otherwise(F.array(inner))
+        state = materialize(met.select("doc", "line", F.explode(places).alias("s")).select("doc", "line", "s.*"), "intervals")
+    if state is not None:
+        done.append(state.where("asks"))
+    out = done[0].select("doc", "line", "length", "any")
+    for more in done[1:]:
+        out = out.unionByName(more.select("doc", "line", "length", "any"))
+    return out
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each document with a repeated run: key and two text hashes (``__kw_*``), runs (start, n_lines), gone (start, n_lines).
+
+    A run is a stretch of lines that also stands earlier in (document, line)
+    order, in the same document or another, and has at least ``min_lines``
+    lines with a word among them, or is a line of at least ``min_words`` words.
+    ``runs`` lists those that lie in no other run of their document; they may
+    overlap.  ``gone`` is their union: the lines to delete, as stretches that
+    do not touch.  Both are sorted.
     """
     if min_lines < 2:
         raise ValueError("min_lines must be at least 2; single lines count by min_words")
-    lines = docs.select(F.col(f"`{key}`").alias(DOC[0]), *[c.alias(n) for c, n in zip(text_key(F.col(f"`{text}`")), DOC[1:])], F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line", "words"))
-    lines = lines.select(*POSITION, *[c.alias(n) for c, n in zip(text_key(F.col("words")), ("h1", "h2"))], F.expr(r"regexp_count(words, '\\S+')").alias("words"))
-    level = _ranked(lines, ["h1", "h2"])
-    place = F.struct(*[F.col(c) for c in POSITION])
-    marks = level.where(F.col("words") >= min_words).where(place != F.col("first")).select(*DOC, "line", F.lit(1).alias("length"))
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        pairs = level.select("*", _at(step, "rank").alias("rank2"), _at(step, "words").alias("words2")).where("rank2 is not null")
-        level = _ranked(pairs.select(*POSITION, (F.col("words") + F.col("words2")).alias("words"), F.col("rank").alias("rank1"), "rank2"), ["rank1", "rank2"])
-        depth += step
-    marks = marks.unionByName(level.where("words > 0").where(place != F.col("first")).select(*DOC, "line", F.lit(min_lines).alias("length")))
-    deleted = marks.select(*DOC, F.expr("explode(sequence(line, line + length - 1))").alias("line")).distinct()
-    island = F.col("line") - F.row_number().over(Window.partitionBy(*DOC).orderBy("line"))
-    return deleted.withColumn("island", island).groupBy(*DOC, "island").agg(F.min("line").alias("start"), F.count(F.lit(1)).cast("int").alias("n_lines")).drop("island")
+    rows = _texts(docs, key, text)
+    with scratch() as scope:
+        first = rows.groupBy(*DOC[1:]).agg(F.min(F.struct(DOC[0], "lines")).alias("f"), F.count(F.lit(1)).alias("members"))
+        texts = global_rank(first.select(F.col(f"f.{DOC[0]}").alias(DOC[0]), *DOC[1:], "f.lines", "members"), DOC, "doc")
+        lines = materialize(texts.select("doc", F.posexplode("lines").alias("line", "l")).select("doc", "line", "l.h1", "l.h2", "l.words", (F.col("l.words") > 0).alias("any")), "lines")
+        total = lines.count()
+        levels = _levels(lines, total)
+        found = texts.select("doc", F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
+        if levels:
+            copies = _copies(levels, total)
+            found = copies.where((F.col("length") >= min_lines) & F.col("any")).select("doc", F.col("line").alias("start"), (F.col("line") + F.col("length")).alias("end"))
+            again = levels[0].where(~_is_first()).select("doc", "line")
+            wide = lines.where(F.col("words") >= min_words).select("doc", "line").join(again, ["doc", "line"], "left_semi")
+            found = found.unionByName(wide.select("doc", F.col("line").alias("start"), (F.col("line") + 1).alias("end")))
+        firsts = texts.select("doc", *DOC).join(_per_text(found), "doc").select(*DOC, "runs", "gone")
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("n_lines")))
+        counts = (F.size("lines") >= min_lines) & F.exists("lines", lambda l: l["words"] > 0) | F.exists("lines", lambda l: l["words"] >= min_words)
+        copied = texts.where("members > 1").where(counts).select(F.col(DOC[0]).alias("least"), *DOC[1:], F.size("lines").alias("n"), "members")
+        names = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias(DOC[0]), *[c.alias(n) for c, n in zip(text_key(F.col(f"`{text}`")), DOC[1:])])
+        later = join_hot(names, copied, DOC[1:], "members", total).where(~F.col(DOC[0]).eqNullSafe(F.col("least"))).select(*DOC, whole.alias("runs"), whole.alias("gone")).distinct()
+        return scope.keep(firsts.unionByName(later), "runs")
+
+
+def _per_text(found: DataFrame) -> DataFrame:
+    """(doc, runs, gone) from all stretches (doc, start, end) that count."""
+    before = Window.partitionBy("doc").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    maximal = found.withColumn("reach", F.max("end").over(before)).where("reach is null or reach < end")
+    # starts and ends both rise along the maximal runs, so a stretch to delete ends where a run starts beyond its predecessor's end
+    island = F.sum((F.coalesce("reach", F.lit(-1)) < F.col("start")).cast("int")).over(Window.partitionBy("doc").orderBy("start"))
+    n_lines = (F.col("end") - F.col("start")).alias("n_lines")
+    stretches = maximal.withColumn("island", island).groupBy("doc", "island").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.collect_list(F.struct("start", n_lines)).alias("r"))
+    gone = F.struct(F.col("s").alias("start"), (F.col("e") - F.col("s")).alias("n_lines"))
+    return stretches.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("runs"), F.array_sort(F.collect_list(gone)).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,25 +164,26 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 25, key: s
     has no lines; an empty text is one empty line; a text that is deleted
     wholly becomes empty.  Rows equal in key and text are one document: they
     are treated alike and are not copies of each other.  Null keys sort first.
+    Documents of one key and several texts are ordered by hashes of the texts.
+    An empty table gives an empty table; other columns are kept.
     """
-    docs = without(docs, "n_lines", "n_deleted", "n_runs", "longest_run", *DOC, "__kw_runs", "__kw_lines")
-    runs = repeated_runs(docs, min_lines, min_words, key, text)
-    runs = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "n_lines"))).alias("__kw_runs"))
+    docs = without(docs, "n_lines", "n_deleted", "n_runs", "longest_run", *DOC, "__kw_runs", "__kw_gone", "__kw_lines")
+    runs = repeated_runs(docs, min_lines, min_words, key, text).withColumnsRenamed({"runs": "__kw_runs", "gone": "__kw_gone"})
     cols = docs.columns
     keyed = docs.select("*", F.col(f"`{key}`").alias(DOC[0]), *[c.alias(n) for c, n in zip(text_key(F.col(f"`{text}`")), DOC[1:])])
     on = [keyed[c].eqNullSafe(runs[c]) for c in DOC]
-    joined = keyed.join(runs, on[0] & on[1] & on[2], "left").select(*[keyed[f"`{c}`"] for c in cols], "__kw_runs", F.split(keyed[f"`{text}`"], "\n").alias("__kw_lines"))
-    # what stays: the lines before the first run, between runs, and after the last
+    joined = keyed.join(runs, on[0] & on[1] & on[2], "left").select(*[keyed[f"`{c}`"] for c in cols], "__kw_runs", "__kw_gone", F.split(keyed[f"`{text}`"], "\n").alias("__kw_lines"))
+    # what stays: the lines before the first stretch, between stretches, and after the last
     gaps = (
-        "transform(sequence(0, size(__kw_runs)), i -> slice(__kw_lines, "
-        "if(i = 0, 0, __kw_runs[i - 1].start + __kw_runs[i - 1].n_lines) + 1, "
-        "if(i = size(__kw_runs), size(__kw_lines), __kw_runs[i].start) - if(i = 0, 0, __kw_runs[i - 1].start + __kw_runs[i - 1].n_lines)))"
+        "transform(sequence(0, size(__kw_gone)), i -> slice(__kw_lines, "
+        "if(i = 0, 0, __kw_gone[i - 1].start + __kw_gone[i - 1].n_lines) + 1, "
+        "if(i = size(__kw_gone), size(__kw_lines), __kw_gone[i].start) - if(i = 0, 0, __kw_gone[i - 1].start + __kw_gone[i - 1].n_lines)))"
     )
-    shorter = F.expr(f"if(__kw_runs is null, `{text}`, array_join(flatten({gaps}), '\\n'))")
+    shorter = F.expr(f"if(__kw_gone is null, `{text}`, array_join(flatten({gaps}), '\\n'))")
     return joined.select(
         *[shorter.alias(c) if c == text else F.col(f"`{c}`") for c in cols],
         F.expr("coalesce(size(__kw_lines), 0)").alias("n_lines"),
-        F.expr("coalesce(aggregate(__kw_runs, 0, (s, r) -> s + r.n_lines), 0)").alias("n_deleted"),
+        F.expr("coalesce(aggregate(__kw_gone, 0, (s, r) -> s + r.n_lines), 0)").alias("n_deleted"),
         F.expr("coalesce(size(__kw_runs), 0)").alias("n_runs"),
         F.expr("coalesce(array_max(transform(__kw_runs, r -> r.n_lines)), 0)").alias("longest_run"),
     )

@@ -47,7 +47,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, deleted lines and runs, the longest run, and the SHA-256 of what is left."""
+    """Per document: lines, deleted lines, maximal repeated runs and the longest of them, and the SHA-256 of what is left."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, min_lines=2, min_words=25).select(
         "doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", F.sha2("text", 256).alias("kept_sha256")
@@ -97,26 +97,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
+# every pair of equal lines, joined to stretches along its diagonal: maximal repeats by definition, without any suffix array
 OP5_SQL = """
 with lines as (
-    select doc_id, i - 1 as line, l, length(regexp_replace(l, '\\S+', 'x', 'g')) - length(regexp_replace(l, '\\S+', '', 'g')) as words,
-           lead(l) over (partition by doc_id order by i) as next_l
+    select doc_id, i - 1 as line, l, length(regexp_replace(l, '\\S+', 'x', 'g')) - length(regexp_replace(l, '\\S+', '', 'g')) as words
     from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
-), windows as (
-    select doc_id, line, 2 as length, l || chr(10) || next_l as content from lines
-    where next_l is not null and trim(l || next_l, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
-    union all
-    select doc_id, line, 1, l from lines where words >= 25
-), marks as (
-    select *, first_value((doc_id, line)) over (partition by length, content order by doc_id, line) as first from windows
-), gone as (
-    select distinct doc_id, line + o as line from marks, (values (0), (1)) as t(o) where o < length and (doc_id, line) <> first
-), islands as (
-    select doc_id, count(*) as n from (select doc_id, line - row_number() over (partition by doc_id order by line) as island from gone) group by doc_id, island
+), pairs as (
+    select a.doc_id, a.line, a.words, b.doc_id as other, a.line - b.line as diagonal
+    from lines a join lines b on a.l = b.l and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line))
+), placed as (
+    select *, line - row_number() over (partition by doc_id, other, diagonal order by line) as stretch from pairs
+), stretches as (
+    select doc_id, min(line) as s, max(line) + 1 as e from placed group by doc_id, other, diagonal, stretch having count(*) >= 2 and sum(words) > 0
+    union
+    select doc_id, line, line + 1 from pairs where words >= 25
+), reached as (
+    select *, max(e) over (partition by doc_id order by s, e desc rows between unbounded preceding and 1 preceding) as reach from stretches
 ), runs as (
-    select doc_id, count(*) as n_runs, max(n) as longest_run, sum(n) as n_deleted from islands group by doc_id
+    select doc_id, count(*) as n_runs, max(e - s) as longest_run from reached where reach is null or reach < e group by doc_id
 ), kept as (
-    select lines.doc_id, string_agg(l, chr(10) order by line) as text from lines anti join gone using (doc_id, line) group by lines.doc_id
+    select doc_id, string_agg(l, chr(10) order by line) filter (not gone) as text, count(*) filter (gone) as n_deleted
+    from (select lines.*, exists (select 1 from stretches x where x.doc_id = lines.doc_id and x.s <= lines.line and lines.line < x.e) as gone from lines)
+    group by doc_id
 )
 select d.doc_id, cast(coalesce(len(string_split(d.text, chr(10))), 0) as integer) as n_lines, cast(coalesce(n_deleted, 0) as integer) as n_deleted,
        cast(coalesce(n_runs, 0) as integer) as n_runs, cast(coalesce(longest_run, 0) as integer) as longest_run,
