@@ -172,7 +172,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 25, key: s
     cols = docs.columns
     keyed = docs.select("*", F.col(f"`{key}`").alias(DOC[0]), *[c.alias(n) for c, n in zip(text_key(F.col(f"`{text}`")), DOC[1:])])
     on = [keyed[c].eqNullSafe(runs[c]) for c in DOC]
-    joined = keyed.join(runs, on[0] & on[1] & on[2], "left").select(*[keyed[f"`{c}`"] for c in cols], "__kw_runs", "__kw_gone", F.split(keyed[f"`{text}`"], "\n").alias("__kw_lines"))
+    # by sorting at every size: the files of the runs are small, the arrays they unpack to need not be
+    joined = keyed.join(runs.hint("merge"), on[0] & on[1] & on[2], "left").select(*[keyed[f"`{c}`"] for c in cols], "__kw_runs", "__kw_gone", F.split(keyed[f"`{text}`"], "\n").alias("__kw_lines"))
     # what stays: the lines before the first stretch, between stretches, and after the last
     gaps = (
         "transform(sequence(0, size(__kw_gone)), i -> slice(__kw_lines, "
