@@ -32,7 +32,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTI
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS, folds: int = FOLDS, fold: int = HELD_OUT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose quality score is at least 0.5."""
+    """The rows of ``docs``, unchanged, whose quality score is at least 0.5.
+
+    Null, empty and blank texts get the score of an empty bag and stay or go
+    together; null keys are ordinary; repeated rows are judged alike; an empty
+    table stays empty; without labels of both classes the smoothed share of
+    label 1 decides for all rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train_bags(*labelled_sample(docs, labels, "quality", folds, fold, settings, key, text), settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,6 @@ class Settings:
     rate: float = 0.25
     seed: int = 7
     max_train: int = 6000  # labelled rows at most, by hash order
-    max_train_words: int | None = None  # None: whole texts; else words of a training row at most, drawn evenly over the text
     balance: bool = True
     pad: int = 20  # times the feature PAD joins the average of every document, so that a few words decide little
     repeats: bool = False  # a word equal to the one before it also gives the feature REPEAT
@@ -161,45 +160,59 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -700, 700)))
 
 
-def thinned(text: str | None, s: Settings) -> str:
-    """The words (and REPEAT marks) of a text, all or ``max_train_words`` of them at most, drawn evenly."""
+def marked(text: str | None, repeats: bool) -> list[bytes]:
+    """All words of a text; with ``repeats`` the mark REPEAT behind each word that equals the one before it."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    if s.repeats:
+    if repeats:
         mark = REPEAT.encode()
         words = [x for i, w in enumerate(words) for x in ((w, mark) if i and w == words[i - 1] else (w,))]
-    if s.max_train_words is not None and len(words) > s.max_train_words:
-        words = [words[i] for i in np.linspace(0, len(words) - 1, s.max_train_words).astype(np.int64)]
-    return b" ".join(words).decode("utf-8", "surrogatepass")
+    return words
 
 
 Bag = tuple[str, bytes]
 
 
-def bag(text: str | None) -> Bag:
-    """The distinct words of a text, joined by spaces, and the bytes of how often each comes, as int32."""
-    times = Counter((text or "").encode("utf-8", "surrogatepass").split())
+def bag(text: str | None, repeats: bool = False) -> Bag:
+    """The distinct words of a whole text, joined by spaces, and the bytes of how often each comes, as int32."""
+    times = Counter(marked(text, repeats))
     return b" ".join(times).decode("utf-8", "surrogatepass"), np.fromiter(times.values(), np.int32, len(times)).tobytes()
 
 
-def _coded(bags: list[Bag], lower: bool) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """(distinct words of all bags, (words by number, times) of each bag), coded by slices of bounded size."""
-    known: dict[str, int] = {}
-    out = []
+def _coded(bags: list[Bag], lower: bool) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
+    """(distinct words of all bags, (words by number, times) of each bag); words stay in Arrow memory."""
     texts = pa.array([words for words, _ in bags], pa.large_string())
-    for at, to in slices_by_bytes(texts, 2 << 20):
-        coded, first = split_words(texts.slice(at, to - at), lower)
-        number = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int32)
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        for i in range(at, to):
-            kinds, inverse = np.unique(number[code[first[i - at] : first[i - at + 1]]], return_inverse=True)
-            times = np.bincount(inverse, np.frombuffer(bags[i][1], np.int32), len(kinds))
-            out.append((kinds, times.astype(np.int32)))
-    return list(known), out
+    parts = [split_words(texts.slice(at, to - at), lower) for at, to in slices_by_bytes(texts, 2 << 20)]
+    chunks = pa.chunked_array([coded for coded, _ in parts], type=parts[0][0].type).unify_dictionaries().chunks
+    out = []
+    for chunk, (_, first) in zip(chunks, parts):
+        code = chunk.indices.to_numpy(zero_copy_only=False)
+        for a, b in zip(first[:-1], first[1:]):
+            kinds, inverse = np.unique(code[a:b], return_inverse=True)
+            times = np.bincount(inverse, np.frombuffer(bags[len(out)][1], np.int32), len(kinds))
+            out.append((kinds.astype(np.int32), times.astype(np.int32)))
+    return chunks[0].dictionary, out
+
+
+FEATURE_SLICE = 8192
+
+
+def _features(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature buckets of all words and of PAD, number of each word's, first of each word's)."""
+    feats, counts = [], []
+    for at in range(0, len(words) + 1, FEATURE_SLICE):
+        some = words.slice(at, FEATURE_SLICE).to_pylist()
+        if at + FEATURE_SLICE > len(words):
+            some.append(PAD)
+        f, c = word_features([w.encode("utf-8", "surrogatepass") for w in some], s)
+        feats.append(f.astype(np.int32))
+        counts.append(c.astype(np.int32))
+    counts = np.concatenate(counts)
+    return np.concatenate(feats), counts, np.cumsum(counts, dtype=np.int64) - counts
 
 
 def train(texts: list[str], labels: list[int], s: Settings) -> Model:
     """Fit to whole texts as given; see ``train_bags``."""
-    return train_bags([bag(t) for t in texts], labels, s)
+    return train_bags([bag(t, s.repeats) for t in texts], labels, s)
 
 
 def train_bags(bags: list[Bag], labels: list[int], s: Settings) -> Model:
@@ -214,20 +227,21 @@ def train_bags(bags: list[Bag], labels: list[int], s: Settings) -> Model:
         return Model(s, np.zeros(s.buckets, np.float64), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)
     known, docs = _coded(bags, s.lower)
-    words = [*known, PAD]
-    parts = [word_features([w.encode("utf-8", "surrogatepass") for w in words[i : i + 32768]], s) for i in range(0, len(words), 32768)]
-    feats, counts = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([c for _, c in parts])
-    begin = np.cumsum(counts) - counts
+    pad = len(known)
+    feats, counts, begin = _features(known, s)
+    del known, bags
+    release_memory()
 
     def expanded(kinds: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = times.sum() + s.pad
         if s.pad:
-            kinds, times = np.append(kinds, len(words) - 1), np.append(times, s.pad)
+            kinds, times = np.append(kinds, pad), np.append(times, s.pad)
         c = counts[kinds]
         at = np.repeat(begin[kinds] - (np.cumsum(c) - c), c) + np.arange(c.sum())
         share = np.repeat(times / c / max(1, n), c)
-        bucket, inverse = np.unique(feats[at], return_inverse=True)
-        return bucket, np.bincount(inverse, share, len(bucket)).astype(np.float32)
+        total = np.bincount(feats[at], share, s.buckets)  # no sorting: the buckets are few beside a text's features
+        bucket = np.nonzero(total)[0]
+        return bucket, total[bucket].astype(np.float32)
 
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     squares = np.full(s.buckets, 1e-4, np.float32)
@@ -267,7 +281,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
     """Bags of the whole texts and labels of the first ``max_train`` training rows in hash order of the key.
 
     Rows of the held-out fold are never read; rows without a key or a label of
-    0 or 1 are no training rows.  The bound is the size of what the driver gets.
+    0 or 1 are no training rows.  Of several texts with one key the least bag is
+    taken, before anything is collected, so the driver gets ``max_train`` bags
+    at most, however often a labelled key is repeated.
     """
     fold_of = F.crc32(F.col("key").cast("string")) % folds
     chosen = (
@@ -281,13 +297,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
 
     @F.pandas_udf("words string, times binary")
     def bagged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([bag(thinned(t, s)) for t in texts], columns=["words", "times"])
+        return pd.DataFrame([bag(t, s.repeats) for t in texts], columns=["words", "times"])
 
     # max_train rows: the broadcast is bounded, and the driver collects the distinct words of that many texts
     rows = (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), "key")
         .select("key", "label", bagged("text").alias("bag"))
+        .groupBy("key", "label")
+        .agg(F.min("bag").alias("bag"))
         .select("key", "label", "bag.words", "bag.times")
         .collect()
     )

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from kinweave.llm.quality import keep_quality, score_quality
-from kinweave.llm.subword import Settings, held_out, labelled_sample, split_words, thinned, train, word_features
+from kinweave.llm.subword import PAD, Model, Settings, bag, held_out, labelled_sample, marked, split_words, train, word_features
 from kinweave.llm.toxicity import score_toxicity
 
 SMALL = Settings(buckets=1 << 14, max_train=800, epochs=8)
@@ -34,11 +34,91 @@ def test_features_do_not_depend_on_neighbours():
         at += c
 
 
-def test_words_and_thinning():
+M64 = (1 << 64) - 1
+
+
+def plain_features(word, s):
+    """The buckets of a word by its definition: a hash of the whole word and of each character n-gram's bytes."""
+    p0, p1, p2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
+    mixed = [(b * p0 & M64) ^ ((b * p0 & M64) >> 29) for b in b"<" + word.encode() + b">"]
+    hashes = [(sum(m * pow(p1, i + 1, 1 << 64) for i, m in enumerate(mixed)) & M64) ^ p2]
+    for n in s.ngrams:
+        for i in range(len(mixed) - n + 1):
+            h = 0
+            for m in mixed[i : i + n]:
+                h = h * p1 + m & M64
+            hashes.append(h + n & M64)
+    out = []
+    for h in hashes:
+        h = (h ^ h >> 33) * p2 & M64
+        out.append((h ^ h >> 33) % s.buckets)
+    return out
+
+
+def plain_bag(text, s):
+    """{bucket: share} of a text: the average over its words, and PAD as often as set, of the average over their features."""
+    words = [w.decode() for w in marked(text.lower() if s.lower else text, s.repeats)] + [PAD] * s.pad
+    share = {}
+    for w in words:
+        own = plain_features(w, s)
+        for b in own:
+            share[b] = share.get(b, 0) + 1 / len(own) / len(words)
+    return share
+
+
+def test_forward_pass_against_plain_python():
+    for s in (Settings(buckets=512, ngrams=(2, 3), pad=3), Settings(buckets=512, ngrams=(3,), pad=2, lower=False, repeats=True)):
+        weights = np.random.default_rng(1).normal(size=s.buckets)
+        model = Model(s, weights, 0.25)
+        texts = ["a b b B", "größe " * 9 + "x", "", "one", "one one", "y " * 3000]
+        want = [sum(weights[b] * x for b, x in plain_bag(t, s).items()) + 0.25 for t in texts]
+        assert np.allclose(model.logits(pa.array(texts)), want)
+
+
+def test_training_against_plain_python():
+    """One epoch over three texts, by loops over buckets and dimensions."""
+    s = Settings(buckets=64, ngrams=(2,), pad=2, epochs=1, dim=3, lower=True)
+    texts, y = ["bad worse", "fine day today", "bad day"], [1, 0, 1]
+    rng = np.random.default_rng(s.seed)
+    vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32).tolist()
+    out = [[0.0] * s.dim, rng.normal(0, 0.1, s.dim).tolist()]
+    squares, out_sq, bias, bias_sq = [1e-4] * s.buckets, [[1e-4] * s.dim for _ in range(2)], [0.0, 0.0], [1e-4, 1e-4]
+    weight = [3 / (2 * 1), 3 / (2 * 2)]
+    for i in rng.permutation(3):
+        bags = plain_bag(texts[i], s)
+        hidden = [sum(x * vectors[b][d] for b, x in bags.items()) for d in range(s.dim)]
+        z = [sum(o * h for o, h in zip(row, hidden)) + c for row, c in zip(out, bias)]
+        e = [np.exp(v - max(z)) for v in z]
+        p = [(v / sum(e) - (c == y[i])) * weight[y[i]] for c, v in enumerate(e)]
+        back = [sum(p[c] * out[c][d] for c in range(2)) for d in range(s.dim)]
+        for c in range(2):
+            for d in range(s.dim):
+                g = p[c] * hidden[d]
+                out_sq[c][d] += g * g
+                out[c][d] -= s.rate * g / out_sq[c][d] ** 0.5
+            bias_sq[c] += p[c] ** 2
+            bias[c] -= s.rate * 0.1 * p[c] / bias_sq[c] ** 0.5
+        for b, x in bags.items():
+            squares[b] += x * x * sum(v * v for v in back) / s.dim
+            for d in range(s.dim):
+                vectors[b][d] -= s.rate * x / squares[b] ** 0.5 * back[d]
+    model = train(texts, y, s)
+    want = [sum(v * (out[1][d] - out[0][d]) for d, v in enumerate(row)) for row in vectors]
+    assert np.allclose(model.weights, want, atol=1e-4) and abs(model.bias - (bias[1] - bias[0])) < 1e-4
+
+
+def test_words_and_marks():
     coded, first = split_words(pa.array([" A  b ", None, "", "c"]), lower=True)
     assert [coded.dictionary[i].as_py() for i in coded.indices.to_pylist()] == ["a", "b", "c"] and first.tolist() == [0, 2, 2, 2, 3]
-    assert thinned("a a b", Settings(repeats=True)).split() == ["a", "a", "\x01same", "b"]
-    assert len(thinned("w " * 9999, Settings(max_train_words=50)).split()) == 50
+    assert marked("a a b", True) == [b"a", b"a", b"\x01same", b"b"] and marked(None, True) == []
+    assert bag("b a b") == ("b a", np.array([2, 1], np.int32).tobytes())
+
+
+def test_repeated_keys_collect_one_bag(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 50 + [(1, "c"), (2, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    bags, y = labelled_sample(docs, labels, "toxic", 5, 4, SMALL)
+    assert [b[0] for b in bags] == ["a b", "d"] and y == [1, 0]
 
 
 def test_held_out_accuracy_and_unseen_spellings(spark):
