@@ -5,8 +5,8 @@ shares at least m + 1 - q - k*q of its character q-grams with it, all of them on
 text-minus-item diagonals at most k from the match's own.  Diagonals are cut
 into overlapping bands of twice the step, so every such stretch of diagonals
 lies within one band.  Shared q-grams are counted per (document, item, band);
-bands that reach the bound are verified by an alignment of the item against the
-band's region, free at both ends of the region.
+bands that reach the bound are verified by a banded alignment: only the cells on
+the band's diagonals are computed, free at both ends.
 
 Texts and items are compared lower-cased with white space collapsed, in code
 points.  Documents are scanned where they lie: nothing is shuffled.  Items go
@@ -55,49 +55,70 @@ def edit_budget(m: int, rate: float = RATE) -> int:
     return max(0, min(int(m * rate), (m - Q) // Q))
 
 
-def best_alignments(items: list[np.ndarray], regions: list[np.ndarray], most: np.ndarray) -> list[tuple[int, int, int] | None]:
+CELLS = 1 << 20  # of the arrays of one batch of alignments, items and regions included
+
+
+def _batches(items: list[np.ndarray], widths: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of pairs whose padded arrays have CELLS cells at most; a longer pair is a run of its own."""
+    at = 0
+    while at < len(items):
+        to, longest, widest = at, 0, 0
+        while to < len(items):
+            longest, widest = max(longest, len(items[to])), max(widest, widths[to])
+            if to > at and (to + 1 - at) * (2 * longest + widest) > CELLS:
+                break
+            to += 1
+        yield at, to
+        at = to
+
+
+def banded_alignments(items: list[np.ndarray], regions: list[np.ndarray], widths: list[int], most: np.ndarray) -> list[tuple[int, int, int] | None]:
     """(edits, start, end) of each item's best occurrence in its region, free at both ends; None beyond ``most`` edits.
 
-    All pairs advance together, one item character a step.  The running minimum
-    of distance - column resolves the horizontal steps, and starts travel along
-    with the distances.  Pairs that exceed their budget drop out.
+    ``regions[i]`` starts on the band's lowest diagonal and ``widths[i]`` is the
+    number of its diagonals: column d of row r is the place r + d of the region,
+    and only these cells are kept, so a pair takes memory in proportion to its
+    item and band, not to their product.  Pairs of a batch advance together,
+    one item character a step.  The running minimum of distance - diagonal
+    resolves the insertions, and starts travel along with the distances.  Pairs
+    that exceed their budget drop out.
     """
     out: list[tuple[int, int, int] | None] = [None] * len(items)
     if not items:
         return out
-    size = np.array([len(x) for x in items])
-    width = max(len(x) for x in regions)
-    grid = np.full((len(items), width), 0x110000, np.uint32)  # the filler equals no character
-    rows = np.full((len(items), int(size.max())), 0x110001, np.uint32)
+    size, wide = np.array([len(x) for x in items]), np.array(widths)
+    width, longest = int(wide.max()), int(size.max())
+    far = np.int32(1 << 30)
+    text = np.full((len(items), longest + width), 0x110000, np.uint32)  # the filler equals no character
+    rows = np.full((len(items), longest), 0x110001, np.uint32)
     for i, (item, region) in enumerate(zip(items, regions)):
-        grid[i, : len(region)], rows[i, : len(item)] = region, item
+        n = min(len(region), text.shape[1])
+        text[i, :n], rows[i, : len(item)] = region[:n], item
     live = np.arange(len(items))
-    column = np.arange(width + 1, dtype=np.int32)
-    dist = np.zeros((len(items), width + 1), np.int32)
-    start = np.broadcast_to(column, dist.shape).copy()
-    for i in range(1, int(size.max()) + 1):
-        across = np.empty_like(dist)
-        across[:, 0], across[:, 1:] = i, dist[:, :-1] + (grid != rows[:, i - 1 : i])
-        down = dist + 1
-        down[:, 0] = i
-        take = across <= down
-        came = np.empty_like(start)
-        came[:, 0], came[:, 1:] = 0, start[:, :-1]
-        came = np.where(take, came, start)
-        lift = np.where(take, across, down) - column
+    diagonal = np.arange(width, dtype=np.int32)
+    dist = np.where(diagonal < wide[:, None], 0, far).astype(np.int32)
+    start = np.broadcast_to(diagonal, dist.shape).copy()
+    for r in range(1, longest + 1):
+        across = dist + (text[:, r - 1 : r - 1 + width] != rows[:, r - 1 : r])  # the item's character against the text's
+        skip, came = np.full_like(dist, far), np.empty_like(start)
+        skip[:, :-1], came[:, :-1], came[:, -1] = dist[:, 1:] + 1, start[:, 1:], 0  # the item's character left out
+        take = across <= skip
+        lift = np.where(take, across, skip) - diagonal
+        came = np.where(take, start, came)
         low = np.minimum.accumulate(lift, axis=1)
-        # the latest column that sets the running minimum is where the horizontal steps began
-        source = np.maximum.accumulate(np.where(lift == low, column, 0), axis=1)
-        dist, start = low + column, np.take_along_axis(came, source, axis=1)
+        # the latest diagonal that sets the running minimum is where the insertions began
+        source = np.maximum.accumulate(np.where(lift == low, diagonal, 0), axis=1)
+        dist, start = low + diagonal, np.take_along_axis(came, source, axis=1)
+        dist = np.where(diagonal < wide[live][:, None], dist, far)
         least = dist.min(axis=1)
-        for j in np.nonzero((size[live] == i) & (least <= most[live]))[0]:
+        for j in np.nonzero((size[live] == r) & (least <= most[live]))[0]:
             end = int(dist[j].argmin())
-            out[live[j]] = (int(dist[j, end]), int(start[j, end]), end)
-        stay = (size[live] > i) & (least <= most[live])
+            out[live[j]] = (int(dist[j, end]), int(start[j, end]), r + end)
+        stay = (size[live] > r) & (least <= most[live])
         if not stay.all():
             if not stay.any():
                 break
-            live, dist, start, grid, rows = live[stay], dist[stay], start[stay], grid[stay], rows[stay]
+            live, dist, start, text, rows = live[stay], dist[stay], start[stay], text[stay], rows[stay]
     return out
 
 
@@ -202,24 +223,29 @@ class ItemIndex:
         return np.concatenate((owner | band, owner | (band - 1))), np.concatenate((place, place)).astype(np.int64)
 
     def _verify(self, asked: list[tuple[tuple[int, int, np.ndarray], int, int]], best: dict) -> None:
-        hard: list[tuple[int, int, int, np.ndarray]] = []
+        hard: list[tuple[int, int, int, np.ndarray, int, int]] = []
         for (number, offset, codes), i, band in asked:
             step, size, k = int(self.step[i]), int(self.size[i]), int(self.budget[i])
-            low = (band - 1) * step - size - k  # diagonals [low + k, low + k + 2 steps)
-            lo, hi = max(0, low), min(len(codes), low + 2 * k + 2 * step + size + k)
+            low = (band - 1) * step - size - k  # the hits' diagonals are [low + k, low + k + 2 steps); a match strays k from them
+            width = 2 * k + 2 * step
+            lo, hi = max(0, low), min(len(codes), low + width + size)
             region = codes[lo:hi]
             found = region.tobytes().find(self.codes[i].tobytes())
             if found >= 0 and found % 4 == 0:
                 self._keep(best, number, i, (0, offset + lo + found // 4, offset + lo + found // 4 + size))
             elif k:
-                hard.append((number, i, offset + lo, region))
+                # a band that begins before the text is filled up, so that its lowest diagonal is the region's first place
+                filled = np.concatenate((np.full(lo - low, 0x110000, np.uint32), region)) if lo > low else region
+                hard.append((number, i, offset + low, filled, width, len(codes) + offset))
+        hard = [x for x in hard if best.get((x[0], x[1]), (1,))[0]]
         hard.sort(key=lambda x: len(self.codes[x[1]]))
-        for at in range(0, len(hard), 256):
-            part = [x for x in hard[at : at + 256] if best.get((x[0], x[1]), (1,))[0]]
-            got = best_alignments([self.codes[x[1]] for x in part], [x[3] for x in part], self.budget[[x[1] for x in part]])
-            for (number, i, place, _), g in zip(part, got):
-                if g:
-                    self._keep(best, number, i, (g[0], place + g[1], place + g[2]))
+        for at, to in _batches([self.codes[x[1]] for x in hard], [x[4] for x in hard]):
+            part = hard[at:to]
+            got = banded_alignments([self.codes[x[1]] for x in part], [x[3] for x in part], [x[4] for x in part], self.budget[[x[1] for x in part]])
+            for (number, i, place, _, _, end), g in zip(part, got):
+                if g:  # places in the filling are none of the text
+                    first = max(place + g[1], 0)
+                    self._keep(best, number, i, (g[0], first, max(first, min(place + g[2], end))))
 
     @staticmethod
     def _keep(best: dict, number: int, item: int, found: tuple[int, int, int]) -> None:
@@ -281,7 +307,12 @@ def benchmark_matches(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, that hold no benchmark item within its edit budget."""
+    """The rows of ``docs``, unchanged, that hold no benchmark item within its edit budget.
+
+    Null and empty texts hold nothing and stay; null keys and repeated rows are
+    ordinary rows; blank or null items and items without a key match nothing;
+    an empty table of either kind leaves ``docs`` as it is; columns are kept.
+    """
     for items in _blocks(benchmark, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, rate))
 

@@ -107,20 +107,24 @@ def word_count(text: Column) -> Column:
 def plan_mix(units: DataFrame, target: Target, total: float | None = None, block_tokens: int = 1 << 20, seed: int = 0) -> tuple[DataFrame, float]:
     """(unit columns..., epoch, block, position) for every emission of a unit, and the exponent.
 
-    ``units``: (u1, u2, source, tokens, ...), one row per unit.  Units without
-    tokens cost nothing and are emitted in the first epoch alone.  Each source
+    ``units``: (u1, u2, source, tokens, copies, ...), one row per unit; an
+    emission of several copies takes as many positions from ``position`` on.
+    Units without tokens cost nothing and are emitted in the first epoch alone,
+    spread over the blocks by their hash and counted as a token each in the
+    number of blocks, so that no block gathers them.  Each source
     and epoch is dealt into hash cells whose sums are added up first, so that a
     source with most of the rows is no single task's: n rows of a source make
     n / max(CELL_ROWS, sqrt(n)) cells, so neither the cells nor the rows of one
     exceed the square root by much.
     """
-    sources = units.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    sources = units.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("tokens") == 0, F.col("copies")).otherwise(0)).alias("blank"))
     sources = materialize(sources, "mix-sources")
     shares = Shares(sources)
     a = solve_exponent(shares, target, total)
     z, _ = shares.norm_and_entropy(a) if shares.count else (1.0, 0.0)
     budget = shares.budget(a, total) if shares.count else 0.0
-    blocks = max(1, math.ceil(budget / block_tokens))
+    blank = sources.agg(F.sum("blank")).first()[0] or 0
+    blocks = max(1, math.ceil((budget + blank) / block_tokens))
     weight = F.pow(F.col("tokens") / F.lit(shares.total or 1.0), F.lit(a)) / F.lit(z)
     # rounded so that a budget equal to the source's size is not a hair under it
     plans = sources.select("source", F.col("tokens").alias("source_tokens"), F.ceil(F.lit(budget) * weight - F.lit(1e-6)).cast("long").alias("source_budget"), F.ceil(F.col("rows") / F.greatest(F.lit(float(CELL_ROWS)), F.sqrt("rows"))).alias("cells"))
@@ -139,9 +143,11 @@ def plan_mix(units: DataFrame, target: Target, total: float | None = None, block
     placed = each.join(bases, each["source"].eqNullSafe(bases["source"]) & (each["epoch"] == bases["epoch"]) & (each["cell"] == bases["cell"])).drop(bases["source"]).drop(bases["epoch"]).drop(bases["cell"])
     start = F.col("cell_base") + F.col("own_base")
     emitted = placed.withColumn("start", start).where("(source_tokens > 0 and tokens > 0 and start < source_budget) or (tokens = 0 and epoch = 0)")
-    share = F.least(F.col("start") / F.greatest(F.col("source_budget"), F.lit(1)), F.lit(1.0))
+    spread = F.expr("order / 18446744073709551616D + 0.5D")
+    share = F.when(F.col("tokens") == 0, spread).otherwise(F.least(F.col("start") / F.greatest(F.col("source_budget"), F.lit(1)), F.lit(1.0)))
     emitted = emitted.withColumn("block", F.least(F.floor(share * blocks), F.lit(blocks - 1)).cast("int"))
-    within = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("order", "block"), "u1", "u2", "epoch")) - 1
+    ahead = Window.partitionBy("block").orderBy(F.xxhash64("order", "block"), "u1", "u2", "epoch").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("copies").over(ahead), F.lit(0))
     kept = [c for c in units.columns]
     return emitted.select(*kept, "epoch", "block", within.alias("position")), a
 
@@ -149,8 +155,8 @@ def plan_mix(units: DataFrame, target: Target, total: float | None = None, block
 def mix_sources(docs: DataFrame, target: Target, total: float | None = None, block_tokens: int = 1 << 20, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, tokens, epoch, block, position): the mixed sequence, to be read by block and position.
 
-    Rows equal in key, source and text are one unit: they share places, and
-    each is emitted at all of them.  A null source is a source of its own; null
+    Rows equal in key, source and text are one unit: they stand side by side
+    wherever it is emitted.  No place is given twice.  A null source is a source of its own; null
     and blank texts have no tokens and are emitted once; null keys are keys.
     An empty table gives an empty table.  Other columns are not returned.
     """
@@ -158,7 +164,7 @@ def mix_sources(docs: DataFrame, target: Target, total: float | None = None, blo
     planned, _ = plan_mix(units, target, total, block_tokens, seed)
     out = planned
     if folded:
-        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))).withColumn("position", F.col("position") + F.col("copy"))
     return out.select(F.col("key").alias(key), F.col("source").alias(source), (F.col("tokens") / F.col("copies")).cast("long").alias("tokens"), "epoch", "block", "position")
 
 
@@ -171,12 +177,19 @@ def _units(docs: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame
 
 
 def mixed_documents(docs: DataFrame, target: Target, total: float | None = None, block_tokens: int = 1 << 20, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix emits them, all columns unchanged."""
+    """The rows of ``docs`` as often as the mix emits them, all columns unchanged.
+
+    Null sources, keys and texts and blank texts are treated as in
+    ``mix_sources``; each of several equal rows comes as often as their unit is
+    emitted; an empty table stays empty; column names may be any.
+    """
     units, _ = _units(docs, key, text, source)
     planned, _ = plan_mix(units, target, total, block_tokens, seed)
-    times = planned.groupBy(F.col("u1").alias("__kw_u1"), F.col("u2").alias("__kw_u2")).agg(F.count(F.lit(1)).alias("__kw_times"))
+    taken = {c.lower() for c in docs.columns}
+    u1, u2, times = (next(n for i in range(len(taken) + 1) if (n := f"__kw_{base}{i}") not in taken) for base in ("first", "second", "times"))
+    counted = planned.groupBy(F.col("u1").alias(u1), F.col("u2").alias(u2)).agg(F.count(F.lit(1)).alias(times))
     k1, k2 = text_key(F.col(f"`{text}`"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, F.xxhash64(F.col(f"`{key}`"), k1).alias("__kw_u1"), F.xxhash64(F.lit("unit"), F.col(f"`{key}`"), F.col(f"`{source}`"), k2).alias("__kw_u2"))
-    repeated = marked.join(times, ["__kw_u1", "__kw_u2"])
-    return repeated.withColumn("__kw_times", F.expr("explode(sequence(1, cast(__kw_times as int)))")).select(*columns)
+    marked = docs.select(*columns, F.xxhash64(F.col(f"`{key}`"), k1).alias(u1), F.xxhash64(F.lit("unit"), F.col(f"`{key}`"), F.col(f"`{source}`"), k2).alias(u2))
+    repeated = marked.join(counted, [u1, u2])
+    return repeated.withColumn(times, F.expr(f"explode(sequence(1, cast({times} as int)))")).select(*columns)

@@ -1,6 +1,8 @@
 import random
 
-from kinweave.llm.decontaminate import Q, ItemIndex, benchmark_matches, drop_contaminated, edit_budget, normal, points
+import numpy as np
+
+from kinweave.llm.decontaminate import Q, ItemIndex, _batches, banded_alignments, benchmark_matches, drop_contaminated, edit_budget, normal, points
 
 
 def distance(item, text):
@@ -64,3 +66,35 @@ def test_tables(spark):
     assert sorted(r["doc_id"] for r in drop_contaminated(df, bench).collect()) == [2, 3, 4]
     assert drop_contaminated(df, bench.limit(0)).count() == len(docs)
     assert benchmark_matches(df, bench.limit(0)).collect() == [] and benchmark_matches(df.limit(0), bench).collect() == []
+
+
+def test_alignment_stays_in_its_band():
+    """The distance within a band of diagonals, against the full table with all other cells barred."""
+    rng = random.Random(5)
+    for _ in range(300):
+        item, text = ("".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(2))
+        width = rng.randrange(1, 6)
+        table = [[0 if d < width else 99 for d in range(len(text) + width + 20)]]
+        for r, c in enumerate(item, 1):
+            row = []
+            for d in range(width):
+                same = r + d - 1 < len(text) and text[r + d - 1] == c
+                row.append(min(table[-1][d] + (not same), table[-1][d + 1] + 1 if d + 1 < width else 99, row[d - 1] + 1 if d else 99))
+            table.append(row + [99] * 20)
+        best = min(table[-1][:width])
+        (got,) = banded_alignments([points(item)], [points(text)], [width], np.array([3]))
+        assert (got is None and best > 3) or got[0] == best
+
+
+def test_item_of_a_hundred_thousand_characters():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghij klmnop") for _ in range(100_000)).strip()
+    cut = list(normal(item))
+    for at in (10, 40_000, 70_000):
+        cut[at] = "#"
+    del cut[55_555]
+    index = ItemIndex([(1, item)], 0.0005)
+    found = index.search([points("before it " + "".join(cut) + " behind it"), points("x" * 100_000)])
+    assert [(f[0], f[1], f[2]) for f in found] == [(0, 0, 4)]
+    # what is held of a pair is its item, its text and its band, never their product
+    assert list(_batches([points(item)] * 4, [302] * 4)) == [(0, 4)] and list(_batches([points(item)] * 9, [302] * 9))[0] == (0, 5)
