@@ -29,7 +29,7 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("kw"), text)]
 
 
-HOT_SHARE, HOT_LEAST, SALTS = 10_000, 10_000, 64
+HOT_SHARE, HOT_LEAST, SALTS = 10_000, 500, 64
 
 
 def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, total: int, how: str = "inner") -> DataFrame:

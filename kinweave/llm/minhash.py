@@ -15,49 +15,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from kinweave.llm.common import slices_by_bytes, text_key
-from kinweave.llm.subword import split_words
+from kinweave.llm.common import join_hot, slices_by_bytes, text_key
+from kinweave.llm.shingles import SHINGLE, mixed, shingles
 from kinweave.llm.verify import shingle_sets, verified_links
 from kinweave.operators.components import connected_components
-from kinweave.storage import materialize, shuffle_partitions
+from kinweave.storage import materialize, scratch, shuffle_partitions
 
 SLOTS = 64
-SHINGLE = 5
 _rng = np.random.default_rng(20_000_003)
 _A = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(29))
-
-
-def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle hashes of all texts in a row, number of each text's); fewer words than ``width`` give one shingle, none none."""
-    coded, first = split_words(texts, lower=True)
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    word = words[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else words
-    n = np.diff(first)
-    count = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
-    begin = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    end = np.repeat(first[1:], count)
-    out = np.zeros(len(begin), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            at = begin + j
-            own = np.where(at < end, word[np.minimum(at, max(0, len(word) - 1))] if len(word) else 0, np.uint64(0))
-            out = out * np.uint64(0xC2B2AE3D27D4EB4F) + own
-        out = _mixed(out)
-    return out, count
-
-
 def signatures(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
     """(texts, SLOTS) uint64 minima; all bits set for a text without words."""
     hashes, count = shingles(texts, width)
@@ -84,7 +57,7 @@ def signatures(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
 def prints(minima: np.ndarray) -> np.ndarray:
     """16 bits of every slot, mixed so that the small size of a minimum does not show; empty texts have all bits set."""
     with np.errstate(over="ignore"):
-        short = (_mixed(minima) >> np.uint64(48)).astype(np.uint16)
+        short = (mixed(minima) >> np.uint64(48)).astype(np.uint16)
     short[minima == _EMPTY] = 0xFFFF
     return short
 
@@ -200,20 +173,22 @@ def minhash_classes(docs: DataFrame, bands: int = 16, similarity: float = 0.8, k
         own = pa.array(list(texts), pa.string())
         minima = np.concatenate([signatures(own.slice(a, b - a)) for a, b in slices_by_bytes(own, 2 << 20)] or [np.empty((0, SLOTS), np.uint64)])
         with np.errstate(over="ignore"):
-            mixed = _mixed(minima).reshape(len(minima), bands, -1)
-            got = np.zeros(mixed.shape[:2], np.uint64)
-            for j in range(mixed.shape[2]):
-                got = _mixed(got * np.uint64(31) + mixed[:, :, j])
+            slots = mixed(minima).reshape(len(minima), bands, -1)
+            got = np.zeros(slots.shape[:2], np.uint64)
+            for j in range(slots.shape[2]):
+                got = mixed(got * np.uint64(31) + slots[:, :, j])
         return pd.Series(list(got.view(np.int64)))
 
-    nodes = materialize(known.groupBy("id").agg(F.min("key").alias("key")), "minhash-nodes")
-    banded = known.select("id", F.posexplode(band_hashes("text")).alias("band", "h")).select(F.concat_ws(":", "band", "h").alias("g"), "id").distinct()
-    links = verified_links(banded, shingle_sets(known.select("id", "text").dropDuplicates(["id"])), similarity)
-    return _classes(known, nodes, links).withColumnRenamed("key", key)
-
-
-def _classes(known: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    parts = connected_components(links, "a", "b")
-    rooted = materialize(nodes.join(parts, nodes["id"] == parts["node"], "left").select("id", "key", F.coalesce("component", "id").alias("root")), "classes")
-    least = rooted.groupBy("root").agg(F.min("key").alias("class_id"))
-    return known.select("key", "id").join(rooted.select("id", "root").join(least, "root"), "id").select("key", "class_id")
+    with scratch() as scope:
+        banded = materialize(known.select("id", F.posexplode(band_hashes("text")).alias("band", "h")).select(F.concat_ws(":", "band", "h").alias("g"), "id").distinct(), "bands")
+        shared = banded.join(banded.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "g", "left_semi")
+        groups = materialize(shared, "groups")
+        asked = known.join(groups.select("id").distinct(), "id", "left_semi")
+        links = verified_links(groups, shingle_sets(asked.groupBy("id").agg(F.min("text").alias("text"))), similarity)
+        parts = connected_components(links, "a", "b")
+        nodes = known.groupBy("id").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("members"))
+        rooted = materialize(nodes.join(parts, nodes["id"] == parts["node"], "left").select("id", "key", "members", F.coalesce("component", "id").alias("root")), "classes")
+        least = rooted.groupBy("root").agg(F.min("key").alias("class_id"))
+        classes = scope.keep(rooted.join(least, "root").select("id", "members", "class_id"), "classes")
+    total = classes.agg(F.sum("members")).first()[0] or 0
+    return join_hot(known.select("key", "id"), classes, ["id"], "members", total).select(F.col("key").alias(key), "class_id")

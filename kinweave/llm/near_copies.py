@@ -28,7 +28,7 @@ from kinweave.llm.simhash import ball_links
 from kinweave.llm.subword import split_words
 from kinweave.llm.verify import shingle_sets, verified_links
 from kinweave.operators.components import connected_components
-from kinweave.storage import materialize
+from kinweave.storage import materialize, scratch
 
 TABLES, BITS, RADIUS = 6, 40, 2
 BANDS, BAND_SLOTS = 21, 3
@@ -119,14 +119,16 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, k
     text one stays.  Null keys come last; of rows equal in key and text one
     stays.  An empty table stays empty; columns are kept.
     """
-    nodes = _nodes(docs, key, text, width)
-    classes = _classes(docs, nodes, similarity, width, text)
-    rooted = nodes.groupBy("id").agg(F.min("key").alias("key")).join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id"))
-    kept = materialize(rooted.groupBy("root").agg(least.alias("kept")).select("kept.key", "kept.id"), "near-kept")
+    with scratch() as scope:
+        nodes = _nodes(docs, key, text, width)
+        classes = _classes(docs, nodes, similarity, width, text)
+        rooted = nodes.groupBy("id").agg(F.min("key").alias("key")).join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id"))
+        kept = scope.keep(rooted.groupBy("root").agg(least.alias("kept")).select("kept.key", "kept.id"), "near-kept")
+        repeated = not nodes.groupBy("key", "id").count().where("count > 1").isEmpty()
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     marked = without(docs, "__kw_id").select("*", F.concat(*[F.lpad(F.hex(c), 16, "0") for c in text_key(own)]).alias("__kw_id"))
     stay = marked.join(kept, (marked["__kw_id"] == kept["id"]) & marked[f"`{key}`"].eqNullSafe(kept["key"]), "left_semi")
-    if not nodes.groupBy("key", "id").count().where("count > 1").isEmpty():
+    if repeated:
         stay = stay.dropDuplicates([key, "__kw_id"])
     return stay.drop("__kw_id")

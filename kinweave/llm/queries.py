@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinweave.llm.common import read_table, text_or_empty
 from kinweave.llm.decontaminate import benchmark_matches
 from kinweave.llm.line_dedup import dedup_lines
-from kinweave.llm.minhash import fingerprint_documents
+from kinweave.llm.minhash import fingerprint_documents, minhash_classes
 from kinweave.llm.mixing import Target, mix_sources
 from kinweave.llm.quality import score_quality
 from kinweave.llm.sharding import shard_rows
@@ -69,6 +69,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate classes behind op8's fingerprints: bands of signatures joined, Jaccard similarity of 0.8 verified."""
+    return minhash_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), similarity=0.8)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: the permutation deals single rows, so equal texts need not share a shard."""
     text = text_or_empty(F.col("text"))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
+    "minhash_classes": classes,
 }
 
 # every pair of equal lines, joined to stretches along its diagonal: maximal repeats by definition, without any suffix array
@@ -140,4 +146,26 @@ select page_id, host, path,
 from split
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op10_url_filter": OP10_SQL}
+# every pair of texts that share a shingle, by the sizes of the sets
+CLASSES_SQL = """
+with recursive docs as (
+    select doc_id, [x for x in string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\v\\f\\r]+') if x <> ''] as w from documents
+), shingles as (
+    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from docs where len(w) > 0)
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+    select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where k >= 0.8 * (x.n + y.n - k) - 1e-9
+    union all
+    select (select min(doc_id) from docs where len(w) = 0), doc_id from docs where len(w) = 0
+), both_ways as (
+    select a, b from links union select b, a from links union select doc_id, doc_id from docs
+), reach as (
+    select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a
+)
+select a as doc_id, min(b) as class_id from reach group by a
+"""
+
+ORACLES: dict[str, str] = {"minhash_classes": CLASSES_SQL, "op5_line_dedup": OP5_SQL, "op10_url_filter": OP10_SQL}

@@ -19,9 +19,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinweave.llm.common import without
+from kinweave.llm.common import join_hot, without
 from kinweave.operators.components import connected_components
-from kinweave.storage import materialize
+from kinweave.storage import materialize, scratch
 
 SEED = 42
 
@@ -96,14 +96,16 @@ def simhash_components(docs: DataFrame, radius: int = 2, width: int = 3, key: st
     repeated rows are returned as often as they come.  Input columns with the
     names of the added ones are replaced.
     """
-    docs = without(docs, "fingerprint", "component_id", "__kw_fp", "__kw_id")
+    docs = without(docs, "fingerprint", "component_id", "__kw_fp", "__kw_id", "__kw_n", "__kw_salt", "__kw_hot")
     rest = [c for c in docs.columns if c != text]
-    marked = materialize(docs.select(*[F.col(f"`{c}`") for c in rest], fingerprints(F.col(f"`{text}`"), width).alias("__kw_fp")), "simhash")
-    nodes = materialize(marked.groupBy("__kw_fp").agg(F.min(F.col(f"`{key}`")).alias("__kw_id")), "simhash-nodes")
-    parts = connected_components(ball_links(nodes.select(F.col("__kw_fp").alias("fp")), radius), "a", "b")
-    rooted = nodes.join(parts, nodes["__kw_fp"] == parts["node"], "left").select("__kw_fp", "__kw_id", F.coalesce("component", "__kw_fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("__kw_id").alias("component_id"))
-    component = rooted.join(least, "root").select("__kw_fp", "component_id")
-    return marked.join(component, "__kw_fp").select(
-        *[marked[f"`{c}`"] for c in rest], F.lower(F.lpad(F.hex("__kw_fp"), 16, "0")).alias("fingerprint"), "component_id"
+    with scratch() as scope:
+        marked = scope.keep(docs.select(*[F.col(f"`{c}`") for c in rest], fingerprints(F.col(f"`{text}`"), width).alias("__kw_fp")), "simhash")
+        nodes = materialize(marked.groupBy("__kw_fp").agg(F.min(F.col(f"`{key}`")).alias("__kw_id"), F.count(F.lit(1)).alias("__kw_n")), "simhash-nodes")
+        parts = connected_components(ball_links(nodes.select(F.col("__kw_fp").alias("fp")), radius), "a", "b")
+        rooted = nodes.join(parts, nodes["__kw_fp"] == parts["node"], "left").select("__kw_fp", "__kw_id", "__kw_n", F.coalesce("component", "__kw_fp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("__kw_id").alias("component_id"))
+        component = scope.keep(rooted.join(least, "root").select("__kw_fp", "component_id", "__kw_n"), "simhash-components")
+    # fingerprint zero and the fingerprints of large groups of copies are hot keys
+    return join_hot(marked, component, ["__kw_fp"], "__kw_n", marked.count()).select(
+        *[F.col(f"`{c}`") for c in rest], F.lower(F.lpad(F.hex("__kw_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

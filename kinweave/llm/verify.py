@@ -6,45 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kinweave.llm.common import release_memory
+from kinweave.llm.common import join_hot, release_memory, slices_by_bytes
+from kinweave.llm.shingles import shingles
 from kinweave.operators.components import connected_components
 from kinweave.storage import Stored
 
 SMALL_GROUP = 24
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the lower-cased word shingles; fewer words than ``width`` give one shingle."""
-    words = (text or "").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    n = max(1, len(words) - width + 1)
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(" ".join(words[i : i + width])) for i in range(n)), np.uint64, n))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """1 for two empty sets."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
 def shingle_sets(texts: DataFrame, width: int = 5) -> DataFrame:
-    """(id, s): the shingle set of every (id, text), hashed once and written to the shared folder.
+    """(id, s): the sorted distinct 64-bit hashes of the word shingles of every (id, text), written to the shared folder.
 
-    Hashes of 32 bits halve what is moved; in a set of n shingles about
-    n * n / 2**33 of them fall together, one in ten thousand sets of a thousand.
+    Words are lower-cased and split at ASCII white space, as candidates are;
+    fewer words than ``width`` are one shingle, no words none.
     """
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([np.unique((shingle_set(t, width) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch])
+            own = pa.array(batch, pa.string(), from_pandas=True)
+            out = []
+            for at, to in slices_by_bytes(own, 2 << 20):
+                hashes, count = shingles(own.slice(at, to - at), width)
+                ends = np.cumsum(count)
+                out += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(ends - count, ends)]
+            yield pd.Series(out, dtype=object)
         release_memory()
 
     return Stored(texts.select("id", sets("text").alias("s")), "sets").df
@@ -127,8 +116,8 @@ def verified_links(groups: DataFrame, sets: DataFrame, similarity: float = 0.8)
     failed it and is compared with the other.  Sets without shingles are equal.
     """
     state = Stored(groups, "groups").df
-    n_of = state.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    sized = state.join(n_of, "g")
+    n_of = state.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.count(F.lit(1)).alias("members")).where("k > 1")
+    sized = join_hot(state, n_of, ["g"], "members", state.count())
     small = sized.where(F.col("k") <= SMALL_GROUP).select("g", "id")
     asked = small.select("g", F.col("id").alias("a")).join(small.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b")
     found = [Stored(verify_pairs(asked.distinct(), sets, similarity), "verified").df.where("ok").select("a", "b")]
@@ -149,21 +138,22 @@ def _large_groups(large: DataFrame, sets: DataFrame, similarity: float, known: D
     found = [empty.join(F.broadcast(empty.agg(F.min("id").alias("a"))), F.col("id") > F.col("a")).select("a", F.col("id").alias("b"))]
     members = large.join(shared.sizes.where("n > 0"), "id")
     # the least size of the whole group: a partner may have found its centre rounds ago
-    least = members.groupBy("g").agg(F.min("n").alias("least_n"))
-    state = Stored(members.join(least, "g"), "stars").df
+    least = members.groupBy("g").agg(F.min("n").alias("least_n"), F.count(F.lit(1)).alias("members"))
+    total = large.count()
+    state = Stored(join_hot(members, least, ["g"], "members", total), "stars").df
     waiting = None
     while True:
         centre = F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "id"))
-        heads = state.groupBy("g").agg(centre.alias("top"), F.count(F.lit(1)).alias("k")).select("g", F.col("top.id").alias("head"), "k")
-        arms = Stored(state.join(heads, "g").where("id <> head"), "arms").df
+        heads = state.groupBy("g").agg(centre.alias("top"), F.count(F.lit(1)).alias("k")).select("g", F.col("top.id").alias("head"), "k", F.col("k").alias("members"))
+        arms = Stored(join_hot(state, heads, ["g"], "members", total).where("id <> head"), "arms").df
         asked = arms.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
         checked = Stored(verify_pairs(asked, sets, similarity), "verified").df
         found.append(checked.where("ok").select("a", "b"))
         no = checked.where("not ok").select("a", "b")
         failed = arms.withColumns({"a": F.least("id", "head"), "b": F.greatest("id", "head")}).join(no, ["a", "b"], "left_semi")
-        stop = failed.groupBy("g").agg((F.count(F.lit(1)) > F.first("k") * 0.9).alias("stop"))
+        stop = failed.groupBy("g").agg((F.count(F.lit(1)) > F.first("k") * 0.9).alias("stop"), F.count(F.lit(1)).alias("members"))
         open_ = failed.where(shared.possible(F.col("c"), F.col("n"), F.greatest(F.col("least_n"), F.col("n") * similarity)))
-        rest = Stored(open_.join(stop, "g").select("g", "id", "n", "c", "least_n", "stop"), "stars").df
+        rest = Stored(join_hot(open_, stop, ["g"], "members", total).select("g", "id", "n", "c", "least_n", "stop"), "stars").df
         # whoever is in a later star failed the first one, so the first round names all
         if waiting is None:
             waiting = Stored(rest.select("id").distinct(), "left").df

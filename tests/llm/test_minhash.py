@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 
 from kinweave.llm.minhash import edited, fingerprint_documents, minhash_classes, prints, shingles, signatures
-from kinweave.llm.verify import jaccard, shingle_set
+from plain import jaccard
+from plain import shingle_set
 
 
 def likeness(a, b):

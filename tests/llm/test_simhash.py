@@ -5,7 +5,11 @@ import xxhash
 
 from kinweave.llm.near_copies import drop_near_copies, near_copy_classes
 from kinweave.llm.simhash import simhash, simhash_components
-from kinweave.llm.verify import SMALL_GROUP, jaccard, shingle_set, shingle_sets, verified_links
+from kinweave.llm.verify import SMALL_GROUP
+from plain import jaccard
+from plain import shingle_set
+from kinweave.llm.verify import shingle_sets
+from kinweave.llm.verify import verified_links
 
 
 def plain(text, width=3):
