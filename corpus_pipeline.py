@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality, near copies, benchmark leaks, mixing, sharding."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, mixing, sharding.
+
+Every stage takes null and empty texts, null keys, repeated rows, texts of any
+length and empty tables: texts without words share one quality score and are
+copies of each other, so one of them stays at most; rows equal in key and text
+are one document until the mix; null sources are a source; the shards number
+all rows that are left.  Columns keep their names whatever they are.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +19,7 @@ from kinweave.llm.mixing import Target, mixed_documents
 from kinweave.llm.near_copies import drop_near_copies
 from kinweave.llm.quality import keep_quality
 from kinweave.llm.sharding import shard_rows
-from kinweave.storage import materialize
+from kinweave.storage import scratch
 
 SHARDS = 24
 MIX = Target(repeats=2.0)
@@ -59,8 +66,12 @@ ORACLE_SQL = None  # the classifier and the similarity of whole texts have no SQ
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; what a stage wrote on its way goes with it, its input after it."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as scope:
+            docs = scope.keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            before.drop()
+        before = scope.kept[-1]
     return STAGES[-1][1](spark, docs, sf_dir)
