@@ -174,13 +174,42 @@ def set_agreement(a: Column, b: Column) -> Column:
 
 
 def display_status(a: Column, b: Column) -> Column:
-    """For showing a field of two records: 'exact', 'partial' (one holds the other), 'different' or 'missing'."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    return F.when(a.isNull() | b.isNull() | (x == "") | (y == ""), "missing").when(x == y, "exact").when(x.contains(y) | y.contains(x), "partial").otherwise("different")
+    """For showing a text field of two records: 'exact' (but for case and outer blanks), 'different' or 'missing' (null or empty)."""
+    none = lambda x: x.isNull() | (x == "")
+    return F.when(none(a) | none(b), "missing").when(F.lower(F.trim(a)) == F.lower(F.trim(b)), "exact").otherwise("different")
 
 
-def signal_band(in_matches: Column, in_rejects: Column, score: Column) -> Column:
-    """How strong a pair's evidence is: by the rule verdict, else by the score."""
-    return (
-        F.when(in_matches, "confirmed").when(in_rejects, "contradicted").when(score >= 0.7, "strong").when(score >= 0.3, "moderate").when(score.isNotNull(), "weak").otherwise("none")
-    )
+def shown_values(values: Column) -> Column:
+    """The distinct trimmed values of an array that are not empty, sorted; an empty array for null."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")))
+
+
+def display_sets(a: Column, b: Column) -> Column:
+    """As ``display_status`` for sets of values; sets that overlap without being equal are 'partial'."""
+    x, y = shown_values(a), shown_values(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), "missing").when(x == y, "exact").when(F.arrays_overlap(x, y), "partial").otherwise("different")
+
+
+MERGED = ("auto_merge_rule", "ml_auto_merge")
+LEANS, UNCERTAIN, IMPLAUSIBLE = 0.4, 0.2, 0.2
+
+
+def signal(verdict: Column, confidence: Column, ml: Column, gate: Column) -> Column:
+    """struct(band, score, origin): how a pair's evidence is presented.
+
+    The verdict chooses the axis.  A rejected or gate-dropped pair is on the
+    gate's: 'implausible' or 'unlikely' by the gate score.  Any other is on the
+    match axis, by the rule's confidence or else the matcher's score:
+    'confident' if a stage merged it, else 'leans', 'uncertain' or 'ambiguous'.
+    """
+    score = F.coalesce(confidence, ml)
+    origin = F.when(confidence.isNotNull(), "rule").when(ml.isNotNull(), "model").otherwise("none")
+    dropped = F.coalesce(verdict == "gate_dropped", F.lit(False))
+    rejected = F.coalesce(verdict == "reject", F.lit(False))
+    band = (
+        F.when(rejected, "implausible").when(dropped, F.when(gate >= IMPLAUSIBLE, "unlikely").otherwise("implausible"))
+        .when(verdict.isin(*MERGED), "confident").when(score >= LEANS, "leans").when(score >= UNCERTAIN, "uncertain").otherwise("ambiguous")
+    )
+    shown = F.when(rejected, F.lit(None)).when(dropped, gate).otherwise(score)
+    source = F.when(rejected, "none").when(dropped, F.when(gate.isNull(), "none").otherwise("gate")).otherwise(origin)
+    return F.struct(band.alias("band"), shown.alias("score"), source.alias("origin"))

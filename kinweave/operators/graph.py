@@ -12,10 +12,11 @@ TOP_K, QGRAM_WEIGHT = 10, 0.5
 def arcs_weights(pairs: DataFrame, lone_qgram: float = QGRAM_WEIGHT) -> DataFrame:
     """Adds ``weight``: the sum over a pair's blocks of 1 / pairs in that block; a fixed weight for pairs only the q-gram block finds."""
     sizes = pairs.select(F.explode("blocks").alias("block")).where("block <> 'QG'").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    tokens = pairs.select("id_a", "id_b", F.explode("blocks").alias("block"))
-    # one row per block scheme: a handful
-    sums = tokens.join(F.broadcast(sizes), "block").groupBy("id_a", "id_b").agg(F.sum(1 / F.col("n")).alias("weight"))
-    return pairs.join(sums, ["id_a", "id_b"], "left").withColumn("weight", F.coalesce("weight", F.lit(lone_qgram)))
+    # one row with an entry for each block scheme: a handful, so the pairs are not shuffled
+    shares = sizes.agg(F.map_from_entries(F.collect_list(F.struct("block", 1 / F.col("n")))).alias("_share"))
+    known = F.filter("blocks", lambda b: b != "QG")
+    weight = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, b: s + F.element_at("_share", b))).otherwise(lone_qgram)
+    return pairs.crossJoin(F.broadcast(shares)).withColumn("weight", weight).drop("_share")
 
 
 def prune_top_k(weighted: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -111,8 +112,3 @@ def merge_paths(clusters: DataFrame, edges: DataFrame, most: int = 200) -> DataF
         return pd.DataFrame(rows, columns=["cluster_id", "id_a", "id_b", "path", "hops"])
 
     return inside.groupBy("cluster_id").applyInPandas(search, "cluster_id long, id_a string, id_b string, path array<string>, hops int")
-
-
-def max_min(clusters: DataFrame) -> DataFrame:
-    """Size histogram: (size, clusters)."""
-    return clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("clusters"))

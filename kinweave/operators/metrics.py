@@ -178,20 +178,24 @@ def by_stratum(rows: DataFrame, by: str, label: Column, predicted: Column) -> Da
     return binary_confusion(rows, label, predicted, (by,))
 
 
-def bootstrap_precision(verdicts: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """(rule, precision, low, high): percentile interval of precision under Poisson resampling.
+def bootstrap_precision(verdicts: DataFrame, resamples: int = 2000, seed: int = 42, exact: int = 1000) -> DataFrame:
+    """(match_rule, decided, precision, low, high): 95 % percentile interval of precision by the bootstrap.
 
-    ``verdicts``: (match_rule, same boolean).  A rule's resample needs only the
-    two Poisson totals of its correct and wrong pairs, drawn as normals by hash.
+    ``verdicts``: (match_rule, verdict); only SAME and DIFFERENT are decided
+    and resampled.  The correct pairs of a resample of n are binomial in n and
+    the precision: n hash draws are counted up to ``exact`` pairs, beyond which
+    the normal approximation is drawn.  Rules without decided pairs have nulls.
     """
-    s = verdicts.groupBy("match_rule").agg(n_if(F.col("same")).alias("good"), n_if(~F.col("same")).alias("bad"))
-    spark = verdicts.sparkSession
-    draws = s.crossJoin(F.broadcast(spark.range(resamples).withColumnRenamed("id", "b")))  # rules x resamples
-    unit = lambda salt: (F.pmod(F.xxhash64("match_rule", "b", F.lit(salt + seed)), F.lit(1 << 40)) + 0.5) / (1 << 40)
-    normal = lambda k: F.sqrt(-2 * F.log(unit(k))) * F.cos(2 * 3.141592653589793 * unit(k + 1))
-    g, w = F.greatest(F.lit(0.0), F.col("good") + F.sqrt("good") * normal(10)), F.greatest(F.lit(0.0), F.col("bad") + F.sqrt("bad") * normal(20))
-    sampled = draws.withColumn("p", F.try_divide(g, g + w))
-    return sampled.groupBy("match_rule").agg(F.first(F.try_divide("good", F.col("good") + F.col("bad"))).alias("precision"), F.percentile("p", 0.025).alias("low"), F.percentile("p", 0.975).alias("high"))
+    v = verdicts.groupBy("match_rule").agg(n_if(F.col("verdict") == "SAME").alias("good"), n_if(F.col("verdict").isin("SAME", "DIFFERENT")).alias("decided"))
+    v = v.withColumn("precision", F.try_divide("good", "decided"))
+    draws = v.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))  # rules x resamples
+    unit = lambda *salt: (F.pmod(F.xxhash64("match_rule", "b", F.lit(seed), *salt), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    counted = F.aggregate(F.sequence(F.lit(1), F.greatest("decided", F.lit(1))), F.lit(0), lambda n, i: n + (unit(i) < F.col("precision")).cast("int"))
+    spread = F.sqrt(F.col("decided") * F.col("precision") * (1 - F.col("precision")))
+    normal = F.sqrt(-2 * F.log(unit(F.lit("r")))) * F.cos(2 * 3.141592653589793 * unit(F.lit("a")))
+    approximate = F.greatest(F.lit(0.0), F.least(F.col("decided").cast("double"), F.round(F.col("good") + spread * normal)))
+    drawn = draws.withColumn("p", F.try_divide(F.when(F.col("decided") <= exact, counted.cast("double")).otherwise(approximate), F.col("decided")))
+    return drawn.groupBy("match_rule").agg(F.first("decided").alias("decided"), F.first("precision").alias("precision"), F.percentile("p", 0.025).alias("low"), F.percentile("p", 0.975).alias("high"))
 
 
 def value_fan_out(records: DataFrame, column: str) -> DataFrame:

@@ -204,7 +204,8 @@ grams as (select id, substring(tok, cast(i as integer), n) as gram from tokens,
 tf as (select id, gram, count(*) as tf from grams group by all), df as (select gram, count(*) as df from tf group by gram having count(*) >= 2),
 raw as (select id, gram, tf * (ln((1 + (select count(*) from texts where trim(t) <> '')) / cast(1 + df as double)) + 1) as w from tf join df using (gram)),
 w as (select id, gram, w / sqrt(sum(w * w) over (partition by id)) as w from raw),
-qg as (select a.id as id_a, b.id as id_b, sum(a.w * b.w) as cosine from w a join texts x on a.id = x.id join w b on a.gram = b.gram join texts y on b.id = y.id and x.c = y.c where a.id < b.id group by all having sum(a.w * b.w) >= 0.3)"""
+wc as materialized (select w.*, c from w join texts using (id) where c is not null),
+qg as materialized (select a.id as id_a, b.id as id_b, sum(a.w * b.w) as cosine from wc a join wc b on a.c = b.c and a.gram = b.gram where a.id < b.id group by all having sum(a.w * b.w) >= 0.3)"""
 
 
 @query("op_b14_qgram", with_person("select id_a, id_b, round(cosine, 6) as cosine from qg", ctes=GRAMS))
@@ -226,7 +227,7 @@ def neighbours(spark, folder):
     return Q.neighbours(Q.weights(p, Q.name_text()), 0.55, 100)
 
 
-STACKED = KEYED + ", " + GRAMS + """, stacked as (
+STACKED = KEYED + ", " + GRAMS + """, stacked as materialized (
     select id_a, id_b, list_sort(list(distinct block)) as blocks, cast(count(distinct block) as integer) as n_blocks
     from (select id_a, id_b, unnest(blocks) as block from cand union all select id_a, id_b, 'QG' from qg) group by id_a, id_b
 ), sizes as (select block, count(*) as n from (select unnest(blocks) as block from stacked) where block <> 'QG' group by block),

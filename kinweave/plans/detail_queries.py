@@ -174,10 +174,17 @@ def transforms(spark, folder):
     return orders(spark, folder).select("o_orderkey", F.round(S.sigmoid(x), 9).alias("s"), F.round(S.log_odds2(0.01 + x / 1000), 9).alias("w"))
 
 
-@query("op_s23_signal", "select o_orderkey, case when o_orderkey % 5 = 0 then 'confirmed' when o_orderkey % 7 = 0 then 'contradicted' when p >= 0.7 then 'strong' when p >= 0.3 then 'moderate' else 'weak' end as band from (select o_orderkey, (o_custkey % 101) / 101.0::double as p from orders)")
+SIGNALS = "(select o_orderkey, case o_orderkey % 6 when 0 then 'auto_merge_rule' when 1 then 'ml_auto_merge' when 2 then 'ml_human_review' when 3 then 'reject' when 4 then 'gate_dropped' end as verdict, case when o_orderkey % 12 = 0 then 0.99 end as confidence, case when o_custkey % 7 <> 0 then (o_custkey % 101) / cast(101 as double) end as ml, case when o_custkey % 5 <> 0 then (o_custkey % 37) / cast(74 as double) end as gate from {orders})"
+
+
+@query("op_s23_signal", f"""select o_orderkey, case when verdict = 'reject' then 'implausible' when verdict = 'gate_dropped' and gate >= 0.2 then 'unlikely' when verdict = 'gate_dropped' then 'implausible' when verdict in ('auto_merge_rule', 'ml_auto_merge') then 'confident' when coalesce(confidence, ml) >= 0.4 then 'leans' when coalesce(confidence, ml) >= 0.2 then 'uncertain' else 'ambiguous' end as band,
+    case when verdict = 'reject' then 'none' when verdict = 'gate_dropped' then case when gate is null then 'none' else 'gate' end when confidence is not null then 'rule' when ml is not null then 'model' else 'none' end as origin,
+    round(cast(case when verdict = 'reject' then null when verdict = 'gate_dropped' then gate else coalesce(confidence, ml) end as double), 9) as score from {SIGNALS.format(orders='orders')} x""")
 def signal(spark, folder):
-    k = F.col("o_orderkey")
-    return orders(spark, folder).select("o_orderkey", S.signal_band(k % 5 == 0, k % 7 == 0, F.col("o_custkey") % 101 / 101.0).alias("band"))
+    orders(spark, folder).createOrReplaceTempView("kinweave_signals")
+    x = spark.sql("select * from " + SIGNALS.format(orders="kinweave_signals") + " x")
+    s = S.signal(*[F.col(c) for c in ("verdict", "confidence", "ml", "gate")])
+    return x.select("o_orderkey", s.alias("s")).select("o_orderkey", "s.band", "s.origin", F.round(F.col("s.score").cast("double"), 9).alias("score"))
 
 
 # ---- predicates and joins -----------------------------------------------------------------------------------------

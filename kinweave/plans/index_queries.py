@@ -17,12 +17,12 @@ from kinweave.streaming.incremental import event_counts
 
 # ---- index fixture: entity = customer, records = orders ------------------------------------------------------------
 
-INDEX = """members as (select 'M-' || cast(entity as varchar) as entity_id, rec_id, rec_id = min(rec_id) over (partition by entity) as is_primary from valid),
+INDEX = """members as materialized (select 'M-' || cast(entity as varchar) as entity_id, rec_id, rec_id = min(rec_id) over (partition by entity) as is_primary from valid),
 entities as (select 'M-' || cast(entity as varchar) as entity_id, (entity % 97) / 97.0::double as confidence, cast(2000 + entity % 20 as varchar) as updated from valid group by entity),
 records as (select rec_id, first, last, dob, substring(gov_id, 6, 4) as gov_id4 from valid),
-candidates as (
-    select a.rec_id as id_a, b.rec_id as id_b, v.verdict, v.score, v.run_id
-    from valid a join valid b on a.gov_id = b.gov_id and a.rec_id < b.rec_id, lateral (select case (a.entity + length(b.rec_id) + a.entity % 7) % 3 when 0 then 'reject' when 1 then 'gate_dropped' else 'undecided' end as verdict, (a.entity % 101) / 101.0::double as score, 'run1' as run_id) v
+candidates as materialized (
+    select a.rec_id as id_a, b.rec_id as id_b, case (a.entity + length(b.rec_id) + a.entity % 7) % 3 when 0 then 'reject' when 1 then 'gate_dropped' else 'undecided' end as verdict, (a.entity % 101) / 101.0::double as score, 'run1' as run_id
+    from valid a join valid b on a.gov_id = b.gov_id where a.rec_id < b.rec_id
 ), decisions as (select id_a, id_b, 'same' as decision from candidates where substring(id_a, 9, 1) = '7')"""
 
 
@@ -193,10 +193,11 @@ def agreement(spark, folder):
     return both.select("id_a", "id_b", S.agreement(F.col("gov_id_l"), F.col("gov_id_r")).alias("gov_id"), S.set_agreement(F.col("phones_l"), F.col("phones_r")).alias("phones"))
 
 
-@query("op_s21_display", with_person("select id_a, id_b, case when f_l is null or f_r is null then 'missing' when lower(f_l) = lower(f_r) then 'exact' when contains(lower(f_l), lower(f_r)) or contains(lower(f_r), lower(f_l)) then 'partial' else 'different' end as status from both_sides", ctes=FACTS))
+@query("op_s21_display", with_person("select id_a, id_b, case when f_l is null or f_r is null then 'missing' when lower(f_l) = lower(f_r) then 'exact' else 'different' end as first, case when len(p_l) = 0 or len(p_r) = 0 then 'missing' when list_sort(list_distinct(p_l)) = list_sort(list_distinct(p_r)) then 'exact' when list_has_any(p_l, p_r) then 'partial' else 'different' end as phones from both_sides", ctes=FACTS))
 def display(spark, folder):
     p, c = candidates(spark, folder)
-    return P.attach(c, p, ["first"]).select("id_a", "id_b", S.display_status(F.col("first_l"), F.col("first_r")).alias("status"))
+    both = P.attach(c, p, ["first", "phones"])
+    return both.select("id_a", "id_b", S.display_status(F.col("first_l"), F.col("first_r")).alias("first"), S.display_sets(F.col("phones_l"), F.col("phones_r")).alias("phones"))
 
 
 @query("op_s08_token_jaccard", with_person("select id_a, id_b, round(len(list_intersect([f_l, n_l], [f_r, n_r])) / cast(len(list_distinct([f_l, n_l] || [f_r, n_r])) as double), 9) as j from both_sides where f_l is not null and f_r is not null", ctes=FACTS))

@@ -264,9 +264,12 @@ def conflicts(spark, folder):
 SIM = "(case when {0}_l is null or {0}_r is null then 0 when {0}_l = {0}_r then 1 when contains({0}_l, {0}_r) or contains({0}_r, {0}_l) then 0.92 else jaro_winkler_similarity({0}_l, {0}_r) end)"
 
 
+HOLLOW = "coalesce(len(list_distinct(string_split(g_l, ''))) <= 2 or list_bool_or([length(g_l) - length(replace(g_l, cast(i as varchar), '')) >= 7 for i in range(10)]) or contains('0123456789012345678', g_l) or contains('9876543210987654321', g_l), false)"
+
+
 @query("op_r07_adjudicate", with_person(f"""
-select id_a, id_b, case when fs >= 0.85 and ls >= 0.8 and backing then 'SAME' when fs >= 0.92 and ls >= 0.92 then 'SAME' when fs < 0.7 and (coalesce(s_l <> s_r, false) or not dob_ok) then 'DIFFERENT' when not backing and fs < 0.85 then 'DIFFERENT' else 'UNCERTAIN' end as verdict
-from (select *, dob_ok or coalesce(g_l = g_r, false) or phone_ok or coalesce(a_l = a_r, false) as backing from (select *, {SIM.format('f')} as fs, {SIM.format('n')} as ls, coalesce(dob_l = dob_r or (year(dob_l) = year(dob_r) and month(dob_l) = day(dob_r) and day(dob_l) = month(dob_r)), false) as dob_ok from agreed))""", ctes=FACTS))
+select id_a, id_b, case when fs >= 0.85 and ls >= 0.8 and backed then 'SAME' when fs >= 0.92 and ls >= 0.92 then 'SAME' when fs < 0.7 and (coalesce(s_l <> s_r, false) or not dob_ok) then 'DIFFERENT' when hollow and fs < 0.85 then 'DIFFERENT' when not backed and fs < 0.85 then 'DIFFERENT' else 'UNCERTAIN' end as verdict
+from (select *, dob_ok or phone_ok or coalesce(a_l = a_r, false) or (coalesce(g_l = g_r, false) and not hollow) as backed from (select *, {HOLLOW} as hollow, {SIM.format('f')} as fs, {SIM.format('n')} as ls, coalesce(dob_l = dob_r or (year(dob_l) = year(dob_r) and month(dob_l) = day(dob_r) and day(dob_l) = month(dob_r)), false) as dob_ok from agreed))""", ctes=FACTS))
 def adjudicate(spark, folder):
     p, c = candidates(spark, folder)
     return R.adjudicate(c, p).drop("reason")
@@ -518,7 +521,7 @@ def thresholds(spark, folder):
 def bootstrap(spark, folder):
     p, c, m = matched(spark, folder)
     v = R.adjudicate(m.select("id_a", "id_b"), p).join(m.select("id_a", "id_b", "match_rule"), ["id_a", "id_b"])
-    return M.bootstrap_precision(v.select("match_rule", (F.col("verdict") == "SAME").alias("same")))
+    return M.bootstrap_precision(v.select("match_rule", "verdict"))
 
 
 @query("op_a34_correlation")
