@@ -38,11 +38,14 @@ def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, to
     ``members`` says how many of the ``total`` rows each key has.  Keys with
     more than a HOT_SHARE-th of all rows are HOT_SHARE at most; they are
     broadcast to mark their rows, which are then dealt by a salt, and the keys
-    are copied once for each salt.
+    are copied once for each salt.  The salt is a hash of the row, so that a
+    task that is run again deals its rows alike.
     """
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(F.lit("salt"), *hashed), F.lit(SALTS)).cast("int")
     hot = F.col(members) > max(HOT_LEAST, total // HOT_SHARE)
     marks = unique.where(hot).select(*on, F.lit(True).alias("__kw_hot"))
-    dealt = rows.join(F.broadcast(marks), on, "left").withColumn("__kw_salt", F.when(F.col("__kw_hot"), (F.rand(11) * SALTS).cast("int")).otherwise(0)).drop("__kw_hot")
+    dealt = rows.join(F.broadcast(marks), on, "left").withColumn("__kw_salt", F.when(F.col("__kw_hot"), salt).otherwise(0)).drop("__kw_hot")
     copies = unique.withColumn("__kw_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(members)
     return dealt.join(copies, [*on, "__kw_salt"], how).drop("__kw_salt")
 
