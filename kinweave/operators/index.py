@@ -7,6 +7,7 @@ beside the old one, then a pointer file names it.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -27,37 +28,79 @@ TABLES = {
 
 
 class IndexStore:
-    """Tables below a folder; readers see a table's last committed version."""
+    """Tables below a folder; readers see the last committed version of all of them together.
+
+    One small file names the version of every table.  It is replaced as a
+    whole, so readers see all tables of a commit or none.  ``rollback`` goes
+    back a commit; ``clean`` removes the versions no commit kept names.
+    """
+
+    POINTER = "_current.json"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.folder}/{name}/_current"
-
-    def read(self, name: str) -> DataFrame:
-        from kinweave.sources.files import _listing
+    def _history(self) -> list[dict[str, str]]:
+        """Versions by table of every commit, the last one first."""
+        from kinweave.sources.files import listing
 
-        if "_current" not in _listing(self.spark, f"{self.folder}/{name}"):
-            return self.spark.createDataFrame([], TABLES[name])
-        version = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        stream = version.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(version)
+        if self.POINTER not in listing(self.spark, self.folder):
+            return []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.POINTER}")
+        stream = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(path)
         try:
-            at = bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}/{at}")
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Writes all new versions, then moves the pointers."""
-        from kinweave.sources.files import _put
+    def _point(self, history: list[dict[str, str]]) -> None:
+        """Write the pointer beside the old one and rename it over it."""
+        from kinweave.sources.files import put_text
+
+        put_text(self.spark, f"{self.folder}/{self.POINTER}.new", json.dumps(history))
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        new, old = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.POINTER}{x}") for x in (".new", ""))
+        rename = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, old, rename)
+
+    def read(self, name: str) -> DataFrame:
+        version = next(iter(self._history()), {}).get(name)
+        if version is None:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}/{version}")
 
+    def commit(self, keep: int = 10, **tables: DataFrame) -> None:
+        """Writes new versions of the tables, then moves the one pointer; ``keep`` commits stay in the history."""
+        history = self._history()
         versions = {n: f"v-{uuid.uuid4().hex}" for n in tables}
         for name, df in tables.items():
             columns = [c.split()[0] for c in TABLES[name].split(", ")]
             df.select(*columns).write.parquet(f"{self.folder}/{name}/{versions[name]}")
-        for name, version in versions.items():
-            _put(self.spark, self._pointer(name), version)
+        self._point([next(iter(history), {}) | versions, *history][:keep])
+
+    def rollback(self) -> bool:
+        """Go back to the commit before the last; false if there is none."""
+        history = self._history()
+        if len(history) < 2:
+            return False
+        self._point(history[1:])
+        return True
+
+    def clean(self) -> int:
+        """Remove table versions that no commit of the history names, such as those of a commit that failed; returns how many."""
+        from kinweave.sources.files import listing
+
+        named = {(t, v) for h in self._history() for t, v in h.items()}
+        jvm, removed = self.spark.sparkContext._jvm, 0
+        for table in TABLES:
+            for version in listing(self.spark, f"{self.folder}/{table}"):
+                if version.startswith("v-") and (table, version) not in named:
+                    path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/{version}")
+                    path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                    removed += 1
+        return removed
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinweave import pipeline
 from kinweave.operators import blocking as B, pairs as P, review as V, rules as R
 from kinweave.plans.blocking_queries import KEYED
 from kinweave.plans.fixture import person, with_person
 from kinweave.plans.index_queries import INDEX, index_tables
 from kinweave.plans.registry import query
-from kinweave.plans.rule_queries import FACTS, candidates, rounded
+from kinweave.plans.rule_queries import CAND, FACTS, candidates, rounded
 
 
 @query("op_p11_unresolved", with_person("select id_a, id_b from candidates where verdict is null or verdict not in ('auto_merge_rule', 'ml_auto_merge', 'reject', 'gate_dropped')", ctes=INDEX))
@@ -174,3 +175,9 @@ def explanation(spark, folder):
     """One pair's waterfall from a stored table of contributions, the ids given in either order."""
     rows = [("a", "b", "last", 0.5), ("a", "b", "dob", 2.5), ("a", "b", "email", -1.5), ("a", "c", "dob", 9.0)]
     return V.explanation_of(spark.createDataFrame(rows, "id_a string, id_b string, feature string, contribution double"), "b", "a")
+
+
+@query("op_run_counts", with_person("select 'candidates' as stage, count(*) as n from fired union all select case when len(rules_fired) > 0 then 'auto_merge_rule' when n_contradictions >= 3 then 'reject' else 'undecided' end, count(*) from fired group by 1", ctes=KEYED + FACTS.removeprefix(CAND)))
+def run_counts(spark, folder):
+    """The batch run by keys and rules alone."""
+    return pipeline.stage_counts(pipeline.link(person(spark, folder), pipeline.Options(qgram=False, top_k=None)))

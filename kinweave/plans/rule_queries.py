@@ -228,10 +228,12 @@ def sole_fire(spark, folder):
     return R.sole_fire_share(matched(spark, folder)[2]).withColumn("sole_share", F.round("sole_share", 9))
 
 
-@query("op_a05_match_stats")
+@query("op_a05_match_stats", with_person("""select (select count(*) from matches) as pairs, (select round(avg(case match_rule when 'id_dob' then 1.0 when 'name_dob_email' then 0.99 else 0.985 end), 9) from matches) as mean_confidence,
+    (select round(avg(cast(is_suspicious as integer)), 9) from matches) as suspicious_rate, (select count(distinct root) from (select min(b) as root from reach group by a)) as clusters, (select count(distinct a) from reach) as covered""",
+    ctes=FACTS + ", ways as (select id_a as a, id_b as b from matches union select id_b, id_a from matches), reach as (select a, b from ways union select r.a, w.b from reach r join ways w on r.b = w.a)"))
 def match_stats(spark, folder):
     p, c, m = matched(spark, folder)
-    return M.match_stats(m, G.assign_clusters(p, m.select("id_a", "id_b")))
+    return rounded(M.match_stats(m, G.assign_clusters(p, m.select("id_a", "id_b"))), "mean_confidence", "suspicious_rate")
 
 
 @query("op_a06_agreement_profile", with_person("""
@@ -524,9 +526,12 @@ def bootstrap(spark, folder):
     return M.bootstrap_precision(v.select("match_rule", "verdict"))
 
 
-@query("op_a34_correlation")
+_AGREE = "first last dob gov_id email phones addr".split()
+
+
+@query("op_a34_correlation", with_person("select * from (" + " union all ".join(f"select '{a}' as field_a, '{b}' as field_b, round((select corr(cast(gamma_{a} = 1 as integer), cast(gamma_{b} = 1 as integer)) from gam), 6) as r" for i, a in enumerate(_AGREE) for b in _AGREE[i + 1 :]) + ") where r is not null and not isnan(r) order by abs(r) desc, field_a, field_b limit 8", ctes=FS))
 def correlation(spark, folder):
-    return M.agreement_correlation(gam(spark, folder), L.REGISTRY.fields)
+    return rounded(M.agreement_correlation(gam(spark, folder), L.REGISTRY.fields), "r", digits=6)
 
 
 @query("op_n11_profile", with_person("select 'first' as column, count(*) as rows, cast(sum(case when first is null then 1 else 0 end) as bigint) as nulls, count(distinct first) as distinct from person union all select 'gov_id', count(*), cast(sum(case when gov_id is null then 1 else 0 end) as bigint), count(distinct gov_id) from person").replace("as column", 'as "column"').replace("as distinct", 'as "distinct"').replace("as rows", 'as "rows"'))

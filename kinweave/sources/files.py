@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 _VERSION = re.compile(r"_v(\d+)_")
 
@@ -61,7 +60,7 @@ def read_labels(spark: SparkSession, path: str, a: str, b: str, label: str, ambi
     return rows.select(*cols).groupBy("id_a", "id_b").agg(F.max_by(value, F.col("seq")).alias("v")).select("id_a", "id_b", "v.*")
 
 
-def _listing(spark: SparkSession, folder: str) -> list[str]:
+def listing(spark: SparkSession, folder: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -70,13 +69,13 @@ def _listing(spark: SparkSession, folder: str) -> list[str]:
 
 def latest_version(spark: SparkSession, folder: str, stem: str) -> str | None:
     """The newest ``<stem>_v<N>_<date>`` of a folder."""
-    found = [(int(m[1]), n) for n in _listing(spark, folder) if n.startswith(f"{stem}_v") and (m := _VERSION.search(n))]
+    found = [(int(m[1]), n) for n in listing(spark, folder) if n.startswith(f"{stem}_v") and (m := _VERSION.search(n))]
     return f"{folder.rstrip('/')}/{max(found)[1]}" if found else None
 
 
 def write_versioned(df: DataFrame, folder: str, stem: str, day: str, *sort: str) -> str:
     """Writes ``<stem>_v<N+1>_<date>``, sorted within partitions so that lookups skip row groups; returns the path."""
-    found = [int(m[1]) for n in _listing(df.sparkSession, folder) if n.startswith(f"{stem}_v") and (m := _VERSION.search(n))]
+    found = [int(m[1]) for n in listing(df.sparkSession, folder) if n.startswith(f"{stem}_v") and (m := _VERSION.search(n))]
     path = f"{folder.rstrip('/')}/{stem}_v{max(found, default=0) + 1}_{day}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return path
@@ -97,11 +96,17 @@ def write_run(folder: str, run_id: str, artifacts: dict[str, DataFrame]) -> dict
         df.write.parquet(path)
         rows, digest = content_hash(spark.read.parquet(path))
         manifest["artifacts"][name] = {"path": path, "rows": rows, "hash": f"{digest & (1 << 64) - 1:016x}"}
-    _put(spark, f"{folder.rstrip('/')}/{run_id}/manifest.json", json.dumps(manifest, indent=1))
+    put_text(spark, f"{folder.rstrip('/')}/{run_id}/manifest.json", json.dumps(manifest, indent=1))
     return manifest
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file was last written, in milliseconds."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).getModificationTime()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
@@ -118,14 +123,16 @@ def read_manifest(spark: SparkSession, folder: str, run_id: str) -> dict:
 
 def newest_run_with(spark: SparkSession, folder: str, artifact: str) -> str | None:
     """The last run, by id, whose manifest lists the artifact."""
-    for run in sorted(_listing(spark, folder), reverse=True):
-        if "manifest.json" in _listing(spark, f"{folder.rstrip('/')}/{run}") and artifact in read_manifest(spark, folder, run)["artifacts"]:
+    for run in sorted(listing(spark, folder), reverse=True):
+        if "manifest.json" in listing(spark, f"{folder.rstrip('/')}/{run}") and artifact in read_manifest(spark, folder, run)["artifacts"]:
             return run
     return None
 
 
 def write_review_batches(rows: DataFrame, folder: str, batch: str = "batch") -> None:
-    """One CSV folder per review batch."""
+    """One CSV folder per review batch, and an index file (batch, rows) beside them."""
+    counts = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("rows")).orderBy(batch).collect()  # one row a batch
+    put_text(rows.sparkSession, f"{folder.rstrip('/')}-index.csv", "batch,rows\n" + "".join(f"{r[batch]},{r['rows']}\n" for r in counts))
     rows.write.partitionBy(batch).option("header", True).csv(folder)
 
 
@@ -135,5 +142,18 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("report", F.explode(F.from_json("value", "map<string,string>")).alias("metric", "value")).withColumn("value", F.expr("try_cast(value as double)")).where("value is not null")
 
 
-def report_path(folder: str, name: str) -> Path:
-    return Path(folder) / f"{name}.json"
+def write_report(spark: SparkSession, folder: str, name: str, metrics: dict) -> None:
+    """A report as flat JSON: numbers of nested groups get dotted names, so that ``read_reports`` finds every one."""
+
+    def flat(prefix: str, value: object) -> dict:
+        if isinstance(value, dict):
+            return {k: v for key, x in value.items() for k, v in flat(f"{prefix}.{key}" if prefix else str(key), x).items()}
+        return {prefix: value}
+
+    put_text(spark, f"{folder.rstrip('/')}/{name}.json", json.dumps(flat("", metrics)))
+
+
+def report_trend(reports: DataFrame, metric: str) -> DataFrame:
+    """(report, value, change): one metric over all reports in the order of their names, with the change since the one before."""
+    before = F.lag("value").over(Window.partitionBy("metric").orderBy("report"))  # one row a report
+    return reports.where(F.col("metric") == metric).select("report", "value", (F.col("value") - before).alias("change"))
