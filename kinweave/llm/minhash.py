@@ -9,6 +9,7 @@ similarity of their sets.  A fingerprint stores 16 mixed bits of each slot.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,19 +77,32 @@ def _in_chains(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(place, ghost, key, text): descending key order cut into places, each followed by a ghost of the next place's first row.
 
     The borders are quantiles of the key, so a place is a bounded run of rows.
+    A key that fills several quantiles (or null keys that would) is cut further
+    by a hash of the text, which is also its order; only rows equal in key and
+    text stay in one place, and they stream through it.
     """
     n = 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000), F.count_if(F.col("key").isNull()), F.count(F.lit(1))).first()
+    often = Counter(found[0] or [])
+    splits = [-float("inf"), *sorted({float(c) for c in often}), float("inf")]
+    last = len(splits) - 2  # null keys come last of all
+    # at most one row for each quantile
+    hot = [(last - splits.index(float(c)), c, m) for c, m in often.items() if m > 1] + [(last + 1, None, max(1, n * found[1] // found[2]))]
+    hot = docs.sparkSession.createDataFrame(hot, "hot_place int, hot long, parts int")
     rows = rows.withColumn("as_double", F.col("key").cast("double"))
     placed = Bucketizer(splits=splits, inputCol="as_double", outputCol="bucket", handleInvalid="keep").transform(rows)
-    last = len(splits) - 2  # null keys come last of all
-    placed = placed.select("key", "text", F.when(F.col("key").isNull(), last + 1).otherwise(last - F.col("bucket").cast("int")).alias("place"))
-    # one row per place: bounded by the number of partitions
-    heads = sorted(placed.groupBy("place").agg(F.max("key").alias("key")).collect(), key=lambda r: r["place"])
-    ghosts = docs.sparkSession.createDataFrame([(r["key"], heads[i - 1]["place"]) for i, r in enumerate(heads)], "head long, before int")
-    marked = placed.join(F.broadcast(ghosts), placed["key"].eqNullSafe(ghosts["head"]), "left")
+    placed = placed.select("key", "text", F.xxhash64("text").alias("h"), F.when(F.col("key").isNull(), last + 1).otherwise(last - F.col("bucket").cast("int")).alias("place"))
+    placed = placed.join(F.broadcast(hot), F.col("place") == F.col("hot_place"), "left")
+    part = ((F.shiftright("h", 32) + (1 << 31)) * F.col("parts")) / (1 << 32)
+    part = F.when(F.col("parts").isNull() | (F.col("key") > F.col("hot")), 0).when(F.col("key") < F.col("hot"), F.col("parts") + 1).otherwise(1 + F.floor(part))
+    placed = placed.select("key", "text", "h", (F.col("place").cast("long") * (n + 2) + part).alias("place"))
+    # one row per place: bounded by the number of partitions; the first of a place has the greatest key, then the least hash
+    first = F.max(F.struct("key", F.bitwise_not("h").alias("not_h"))).alias("first")
+    heads = sorted(placed.groupBy("place").agg(first).collect(), key=lambda r: r["place"])
+    ghosts = [(r["first"]["key"], ~r["first"]["not_h"], heads[i - 1]["place"]) for i, r in enumerate(heads)]
+    ghosts = docs.sparkSession.createDataFrame(ghosts, "head long, head_h long, before long")
+    marked = placed.join(F.broadcast(ghosts), placed["key"].eqNullSafe(ghosts["head"]) & (placed["h"] == ghosts["head_h"]), "left")
     both = F.array_compact(F.array(F.struct("place", F.lit(0).alias("ghost")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("place"), F.lit(1).alias("ghost")))))
     return marked.select("key", "text", F.explode(both).alias("at")).select("at.place", "at.ghost", "key", "text")
 
@@ -104,7 +118,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     table gives an empty table.  Other columns are not returned.
     """
     if docs.isEmpty():
-        chains = docs.select(F.lit(0).alias("place"), F.lit(0).alias("ghost"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+        chains = docs.select(F.lit(0).cast("long").alias("place"), F.lit(0).alias("ghost"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     else:
         chains = _in_chains(docs, key, text)
     order = ["place", "ghost", F.col("key").desc_nulls_last(), F.xxhash64("text"), "text"]

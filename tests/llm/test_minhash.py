@@ -64,6 +64,21 @@ def test_one_document_and_none(spark):
     assert sorted(str(r["doc_id"]) for r in rows) == ["3", "3", "None"]
 
 
+def test_repeated_and_null_keys_are_dealt_over_places(spark):
+    from kinweave.llm.minhash import _in_chains
+
+    docs = [(i, f"own {i}") for i in range(100)] + [(40, f"copy of key {i}") for i in range(300)] + [(None, f"no key {i}") for i in range(300)] + [(40, "same")] * 3
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = [r for r in _in_chains(table, "doc_id", "text").collect() if not r["ghost"]]
+    for k in (40, None):
+        assert len({r["place"] for r in rows if r["key"] == k}) > 3
+    h = dict(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("text", "xxhash64(text)").distinct().collect())
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), h[d[1]], d[1]))
+    expected = sorted((str(k), hashlib.sha256(edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
+    got = fingerprint_documents(table).collect()
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == expected
+
+
 def test_classes_against_brute_force(spark):
     rng = random.Random(6)
     docs = []
