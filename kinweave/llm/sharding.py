@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinweave.llm.common import global_row_numbers
 
 PRIME = (1 << 31) - 1
+RECTANGLES = 4096
 
 
 class Feistel:
@@ -31,7 +32,9 @@ class Feistel:
         if n > 1 << 60:
             raise ValueError("n is limited to 2**60 rows")
         self.n = n
-        self.a = max(1, math.isqrt(max(0, n - 1)) + 1)
+        # of many nearly square rectangles the one with the fewest values outside, so that walks are short
+        root = max(1, math.isqrt(max(0, n - 1)) + 1)
+        self.a = min(range(root, root + min(root, RECTANGLES)), key=lambda a: a * max(1, -(-n // a)))
         self.b = max(1, -(-n // self.a))
         rng = random.Random(f"{seed}/{rounds}")
         self.keys = [tuple(rng.randrange(1, PRIME) for _ in range(3)) for _ in range(rounds)]
