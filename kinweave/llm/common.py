@@ -32,7 +32,7 @@ def text_key(text: Column) -> list[Column]:
 HOT_SHARE, HOT_LEAST, SALTS = 10_000, 500, 64
 
 
-def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, total: int, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """Equi-join (inner or left) of ``rows`` with a table that is unique in ``on`` and not null there; the column ``members`` is dropped.
 
     ``members`` says how many of the ``total`` rows each key has.  Keys with
@@ -44,9 +44,11 @@ def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, to
     hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     salt = F.pmod(F.xxhash64(F.lit("salt"), *hashed), F.lit(SALTS)).cast("int")
     hot = F.col(members) > max(HOT_LEAST, total // HOT_SHARE)
-    marks = unique.where(hot).select(*on, F.lit(True).alias("__kw_hot"))
+    marks = (unique if counted is None else counted).where(hot).select(*on, F.lit(True).alias("__kw_hot"))
+    if counted is not None:
+        unique, hot = unique.join(F.broadcast(marks), on, "left"), F.coalesce("__kw_hot", F.lit(False))
     dealt = rows.join(F.broadcast(marks), on, "left").withColumn("__kw_salt", F.when(F.col("__kw_hot"), salt).otherwise(0)).drop("__kw_hot")
-    copies = unique.withColumn("__kw_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(members)
+    copies = unique.withColumn("__kw_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(members, "__kw_hot")
     return dealt.join(copies, [*on, "__kw_salt"], how).drop("__kw_salt")
 
 

@@ -5,14 +5,14 @@ prefixes, as lookups of blocked-site lists do.  The expressions are equi-joined
 with the rules on a short prefix of their SHA-256 digest; the full digests
 confirm a hit, and the longest rule wins.  Only as many labels and characters
 as some rule has are expanded, so a URL gives (label counts) x (path lengths)
-expressions at most.  Everything is an SQL expression.
+expressions at most: they grow with the distinct lengths among the rules.  Everything is an SQL expression.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinweave.llm.common import without
+from kinweave.llm.common import join_hot, without
 
 PREFIX_HEX = 8  # 32 bits of the digest
 SALTS = 32
@@ -48,7 +48,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     fitting rule.  Repeated rows are judged alike; other columns are kept, and
     input columns named like the added ones are replaced.
     """
-    pages = without(pages, "host", "path", "rule", "verdict", "__kw_url")
+    pages = without(pages, "host", "path", "rule", "verdict", "__kw_n", "__kw_hot", "__kw_salt")
     host, path = url_parts(F.col(f"`{url}`"))
     # rule hosts are compared with lower-cased hosts, and a path not starting with / fits nothing
     known = (
@@ -67,7 +67,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     if not shape["n"]:
         return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
-    urls = judged.where("host <> '' or path <> ''").select("host", "path").distinct()
+    counted = judged.groupBy("host", "path").agg(F.count(F.lit(1)).alias("__kw_n"))
+    urls = counted.where("host <> '' or path <> ''").select("host", "path")
     labels = ", ".join(map(str, sorted(shape["l"])))
     lengths = ", ".join(map(str, sorted(shape["p"])))
     suffixes = f"transform(filter(array({labels}), k -> k <= size(parts)), k -> array_join(slice(parts, -k, k), '.'))"
@@ -91,6 +92,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         .agg(F.max(F.struct(F.length("rule").alias("n"), "host_len", F.col("verdict"), F.col("rule"))).alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     )
-    return judged.join(best, ["host", "path"], "left").select(
-        *[judged[f"`{c}`"] for c in judged.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
+    # one URL, or the rows without any, may be a third of all
+    return join_hot(judged, best, ["host", "path"], "__kw_n", pages.count(), "left", counted).select(
+        *[f"`{c}`" for c in judged.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )

@@ -2,8 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from kinweave.llm import url_filters
+from kinweave.llm import common, url_filters
 from kinweave.llm.url_filters import RULE_SCHEMA, filter_urls
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.example.com", None, "block"), ("A.Example.COM", "", "allow"), (None, "/", "block"), ("x.org", "/12", "block"), ("x.org", "/123", "allow"), ("zz", "nopath", "block")]
@@ -39,6 +40,26 @@ def test_against_brute_force(spark, monkeypatch, limit):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(r["url"]), r
 
 
+@pytest.mark.parametrize("url", ["http://hot.net/", "http://hot.zz/", None])
+def test_hot_urls_are_dealt(spark, monkeypatch, url):
+    """A URL of a third of all rows, whether a rule fits it or not."""
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    pages = spark.createDataFrame([(i, url if i % 3 else f"http://{i}.example.com/de/") for i in range(300)], "page_id long, url string")
+    judged = filter_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA))
+    got = judged.collect()
+    assert sorted(r["page_id"] for r in got) == list(range(300))
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(r["url"]), r
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = filter_urls(pages, spark.createDataFrame(RULES, RULE_SCHEMA)).where(pages["url"].eqNullSafe(url)).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert parts > 1
+
+
 def test_no_rules_and_no_pages(spark):
     none = spark.createDataFrame([], RULE_SCHEMA)
     pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
