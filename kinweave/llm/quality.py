@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinweave.llm.common import release_memory
-from kinweave.llm.subword import Settings, labelled_sample, train_bags
+from kinweave.llm.subword import Settings, trained
 from kinweave.llm.toxicity import _scored
 
 SETTINGS = Settings(lower=False, ngrams=(2, 3), pad=20, repeats=True, max_train=3_000)
@@ -27,7 +27,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTI
     Learns ``quality`` as ``toxicity.score_toxicity`` learns ``toxic``; the same
     rules hold for nulls, empty texts, repeated rows and clashing names.
     """
-    model = train_bags(*labelled_sample(docs, labels, "quality", folds, fold, settings, key, text), settings)
+    model = trained(docs, labels, "quality", folds, fold, settings, key, text)
     return _scored(docs, model, folds, fold, key, text)
 
 
@@ -39,7 +39,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, settings: Settings = SETTIN
     table stays empty; without labels of both classes the smoothed share of
     label 1 decides for all rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train_bags(*labelled_sample(docs, labels, "quality", folds, fold, settings, key, text), settings))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, "quality", folds, fold, settings, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

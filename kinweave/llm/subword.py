@@ -277,13 +277,13 @@ def held_out(key: object, folds: int, fold: int) -> bool:
     return zlib.crc32(str(key).encode()) % folds == fold
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, s: Settings, key: str = "doc_id", text: str = "text") -> tuple[list[Bag], list[int]]:
-    """Bags of the whole texts and labels of the first ``max_train`` training rows in hash order of the key.
+def labelled_bags(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, label, words, times): bags of the whole texts of the first ``max_train`` training rows in hash order of the key.
 
     Rows of the held-out fold are never read; rows without a key or a label of
     0 or 1 are no training rows.  Of several texts with one key the least bag is
-    taken, before anything is collected, so the driver gets ``max_train`` bags
-    at most, however often a labelled key is repeated.
+    taken, so there are ``max_train`` bags at most, however often a labelled key
+    is repeated.
     """
     fold_of = F.crc32(F.col("key").cast("string")) % folds
     chosen = (
@@ -299,18 +299,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
     def bagged(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([bag(t, s.repeats) for t in texts], columns=["words", "times"])
 
-    # max_train rows: the broadcast is bounded, and the driver collects the distinct words of that many texts
-    rows = (
+    # max_train rows: the broadcast is bounded
+    return (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), "key")
         .select("key", "label", bagged("text").alias("bag"))
         .groupBy("key", "label")
         .agg(F.min("bag").alias("bag"))
         .select("key", "label", "bag.words", "bag.times")
-        .collect()
     )
-    rows.sort(key=lambda r: (r["key"], r["label"], r["words"], bytes(r["times"])))
-    return [(r["words"], bytes(r["times"])) for r in rows], [r["label"] for r in rows]
+
+
+def _in_order(rows: list[tuple]) -> tuple[list[Bag], list[int]]:
+    """Bags and labels of (key, label, words, times) in an order that does not depend on partitions."""
+    rows = sorted((k, label, words, bytes(times)) for k, label, words, times in rows)
+    return [(words, times) for _, _, words, times in rows], [label for _, label, _, _ in rows]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, s: Settings, key: str = "doc_id", text: str = "text") -> tuple[list[Bag], list[int]]:
+    """Bags and labels of ``labelled_bags`` on the driver, ``max_train`` at most."""
+    return _in_order(labelled_bags(docs, labels, target, folds, fold, s, key, text).collect())
+
+
+def trained(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, s: Settings, key: str = "doc_id", text: str = "text") -> Model:
+    """The model of ``train_bags`` on ``labelled_bags``, fitted in one task of an executor.
+
+    The task holds ``max_train`` bags at most and is run again if its executor
+    is lost; the order of the bags and the seed fix the result.  The driver gets
+    the weights only, whose size is fixed.
+    """
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = train_bags(*_in_order([row for b in batches for row in zip(*[c.to_pylist() for c in b.columns])]), s)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
+        release_memory()
+
+    got = labelled_bags(docs, labels, target, folds, fold, s, key, text).repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    # a plan without rows may have no task
+    return Model(s, np.frombuffer(bytes(got["weights"]), np.float64), got["bias"]) if got else train_bags([], [], s)
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

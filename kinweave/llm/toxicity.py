@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.llm.common import without
-from kinweave.llm.subword import Settings, labelled_sample, score_texts, train_bags
+from kinweave.llm.subword import Settings, score_texts, trained
 
 SETTINGS = Settings(lower=True, ngrams=(2, 3, 4, 5), pad=50, max_train=12_000)
 FOLDS, HELD_OUT = 5, 0
@@ -25,7 +25,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = SETT
     the score is the smoothed share of label 1.  Input columns named like the
     added ones are replaced.
     """
-    model = train_bags(*labelled_sample(docs, labels, "toxic", folds, fold, settings, key, text), settings)
+    model = trained(docs, labels, "toxic", folds, fold, settings, key, text)
     return _scored(docs, model, folds, fold, key, text)
 
 
