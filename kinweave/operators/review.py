@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinweave.functions.similarity import shown_values
 from kinweave.operators.components import connected_components
-from kinweave.operators.metrics import binary_confusion
+from kinweave.operators.metrics import binary_confusion, n_if, prf
 from kinweave.operators.rules import AUTO, NO_MATCH, REVIEW
 
 RESOLVED = ("auto_merge_rule", "ml_auto_merge", "reject", "gate_dropped")
@@ -87,12 +87,12 @@ def stage_metrics(labelled: DataFrame, stages: dict[str, tuple[str | None, str,
     ``stages``: name -> (column that says whether the stage saw the pair, or
     None for all; column of its decision; column of its label).
     """
-    out = None
+    cells = []
     for name, (seen, decided, label) in stages.items():
-        own = labelled.where(F.col(seen)) if seen else labelled
-        row = binary_confusion(own, F.col(label), F.col(decided)).withColumn("stage", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+        own, y, x = F.col(seen) if seen else F.lit(True), F.col(label), F.col(decided)
+        counts = {"tp": y & x, "fp": ~y & x, "fn": y & ~x, "tn": ~y & ~x}
+        cells.append(F.struct(*[n_if(own & test).alias(c) for c, test in counts.items()], F.lit(name).alias("stage")))
+    return labelled.agg(F.array(*cells).alias("_c")).select(F.inline("_c")).select("tp", "fp", "fn", "tn", *prf(), "stage")  # one pass over the pairs
 
 
 def cut_cluster_sizes(pairs: DataFrame, cut: float, score: str = "score") -> DataFrame:
