@@ -103,10 +103,15 @@ def cut_cluster_sizes(pairs: DataFrame, cut: float, score: str = "score") -> Dat
 
 def segment_breakdown(scored: DataFrame, labels: DataFrame, cuts: list[float], score: str = "score") -> DataFrame:
     """(cut, segment, true_pairs, false_pairs, unlabelled): pairs at and above, or below, each cut by what their label says."""
-    rows = scored.join(labels.select("id_a", "id_b", "label"), ["id_a", "id_b"], "left").withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts])))
-    n = lambda test: F.sum(test.cast("long"))
-    return rows.groupBy("cut", F.when(F.col(score) >= F.col("cut"), "above").otherwise("below").alias("segment")).agg(
-        n(F.coalesce(F.col("label"), F.lit(False))).alias("true_pairs"), n(F.coalesce(~F.col("label"), F.lit(False))).alias("false_pairs"), n(F.col("label").isNull()).alias("unlabelled")
+    return segment_counts(scored.join(labels.select("id_a", "id_b", "label"), ["id_a", "id_b"], "left"), cuts, score)
+
+
+def segment_counts(rows: DataFrame, cuts: list[float], score: str = "score") -> DataFrame:
+    """As ``segment_breakdown`` for pairs that have their label (null: unlabelled); pairs are counted by score before they meet the cuts."""
+    counts = rows.groupBy(F.col(score).alias("_s"), "label").agg(F.count(F.lit(1)).alias("_n")).withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts])))
+    n = lambda test: F.sum(F.when(test, F.col("_n")).otherwise(0))
+    return counts.groupBy("cut", F.when(F.col("_s") >= F.col("cut"), "above").otherwise("below").alias("segment")).agg(
+        n(F.col("label")).alias("true_pairs"), n(~F.col("label")).alias("false_pairs"), n(F.col("label").isNull()).alias("unlabelled")
     )
 
 
