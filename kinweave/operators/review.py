@@ -117,7 +117,11 @@ def segment_counts(rows: DataFrame, cuts: list[float], score: str = "score") ->
 
 def tier_by_source(tiers: DataFrame, labels: DataFrame) -> DataFrame:
     """Confusion of the automatic tier for each source of labels (id_a, id_b, origin, label)."""
-    rows = labels.join(tiers.select("id_a", "id_b", "tier"), ["id_a", "id_b"], "left")
+    return source_confusion(labels.join(tiers.select("id_a", "id_b", "tier"), ["id_a", "id_b"], "left"))
+
+
+def source_confusion(rows: DataFrame) -> DataFrame:
+    """As ``tier_by_source`` for pairs that have origin, label and tier."""
     return binary_confusion(rows, F.col("label"), F.coalesce(F.col("tier") == AUTO, F.lit(False)), ("origin",))
 
 
