@@ -8,7 +8,7 @@ from kinweave.functions.similarity import jaro_winkler, jaro_winkler_of, jaro_wi
 from kinweave.operators import blocking as B
 
 FOLDER = "/root/testdata/sf0.001"
-CANDIDATES = ["op_j08_labels", "op_j01_attach", "op_p02_equal_differ", "op_j14_flags", "op_a24_stage_metrics", "op_a39_tiers_by_source", "op_a43_segments", "op_a19_class_report"]
+CANDIDATES = ["op_j08_labels", "op_j01_attach", "op_p02_equal_differ", "op_j14_flags", "op_a24_stage_metrics", "op_a39_tiers_by_source", "op_a43_segments", "op_a47_tier_labels", "op_a19_class_report"]
 BLOCKS = []
 
 
