@@ -10,7 +10,7 @@ from kinweave.plans.fixture import person
 
 FOLDER = "/root/testdata/sf0.001"
 CANDIDATES = ["op_j08_labels", "op_j01_attach", "op_p02_equal_differ", "op_j14_flags", "op_a24_stage_metrics", "op_a39_tiers_by_source", "op_a43_segments", "op_a47_tier_labels", "op_a19_class_report"]
-BLOCKS = ["op_b13_batch_blocking", "op_b32_block_stats", "op_a03_pairs_per_block", "op_a12_false_negatives", "op_n03_marginal"]
+BLOCKS = ["op_b13_batch_blocking", "op_b32_block_stats", "op_a03_pairs_per_block", "op_a12_false_negatives", "op_n03_marginal", "op_n04_block_overlap"]
 
 
 @pytest.mark.parametrize("name", CANDIDATES + BLOCKS)
