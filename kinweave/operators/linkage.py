@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinweave.functions.similarity import (
-    best_of_values, date_similarity, digit_agreement, from_log_odds2, levenshtein_similarity, log_odds2, plain_value, same_or_missing, share_value, street_number, token_jaccard, with_jaro_winkler,
+    best_of_values, date_similarity, digit_agreement, from_log_odds2, jaro_winkler_udf, levenshtein_similarity, log_odds2, plain_value, same_or_missing, share_value, street_number, token_jaccard, with_jaro_winkler,
 )
 from kinweave.functions.phonetic import metaphone_udf, with_code
 from kinweave.operators.pairs import attach
@@ -193,16 +193,31 @@ FEATURES = ["first_jw", "last_jw", "first_lev", "last_lev", "dob_sim", "id_agree
 CATEGORIES = ["email_cat", "street_cat", "sound_cat"]
 
 
+COMPARED = ["first", "last", "dob", "gov_id", "postal", "email", "addr", "phones", "mp_last", "tokens"]
+
+
+def tidied(records: DataFrame) -> DataFrame:
+    """The records with the values that ``features`` compares."""
+    tidy = records.withColumns({c: plain_value(F.col(c)) for c in ("first", "last", "gov_id", "postal", "email", "addr")})
+    return with_code(tidy, "last", "mp_last", metaphone_udf).withColumn("tokens", F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", "first", "last"), r"[ \-]+"))))
+
+
 def features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Nine similarities (null where a side is missing) and three same/different/missing categories."""
-    columns = ["first", "last", "dob", "gov_id", "postal", "email", "addr", "phones"]
-    tidy = records.withColumns({c: plain_value(F.col(c)) for c in ("first", "last", "gov_id", "postal", "email", "addr")})
-    tidy = with_code(tidy, "last", "mp_last", metaphone_udf).withColumn("tokens", F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", "first", "last"), r"[ \-]+"))))
-    both = attach(pairs, tidy, [*columns, "mp_last", "tokens"])
+    both = attach(pairs, tidied(records), COMPARED)
     both = with_jaro_winkler(with_jaro_winkler(both, "first_l", "first_r", "first_jw"), "last_l", "last_r", "last_jw")
+    return _features(both, pairs.columns)
+
+
+def features_of(both: DataFrame, *keep: str) -> DataFrame:
+    """``features`` of pairs that have both sides of ``COMPARED``: names are compared as pairs pass by, so none are written or shuffled."""
+    return _features(both.withColumn("first_jw", jaro_winkler_udf("first_l", "first_r")).withColumn("last_jw", jaro_winkler_udf("last_l", "last_r")), ["id_a", "id_b", *keep])
+
+
+def _features(both: DataFrame, keep: list[str]) -> DataFrame:
     x = lambda c: (F.col(f"{c}_l"), F.col(f"{c}_r"))
     return both.select(
-        *pairs.columns, "first_jw", "last_jw", levenshtein_similarity(*x("first")).alias("first_lev"), levenshtein_similarity(*x("last")).alias("last_lev"),
+        *keep, "first_jw", "last_jw", levenshtein_similarity(*x("first")).alias("first_lev"), levenshtein_similarity(*x("last")).alias("last_lev"),
         date_similarity(*x("dob")).alias("dob_sim"), digit_agreement(*x("gov_id")).alias("id_agree"), digit_agreement(*x("postal")).alias("postal_agree"),
         token_jaccard(*x("tokens")).alias("name_jaccard"), best_of_values(*x("phones")).alias("phone_best"), same_or_missing(*x("email")).alias("email_cat"),
         same_or_missing(street_number(F.col("addr_l")), street_number(F.col("addr_r"))).alias("street_cat"), same_or_missing(*x("mp_last")).alias("sound_cat"),

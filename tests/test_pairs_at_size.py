@@ -71,3 +71,15 @@ def test_counts_of_records_with_many_phones(spark, phones):
 def test_counting_makes_no_pairs(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
     assert "explode(ids" not in plan and "kinweave-classes" in plan
+
+
+def test_features_come_along_with_the_pairs(spark):
+    from kinweave.operators import linkage as L
+    from kinweave.plans.rule_queries import candidates
+
+    found = entry.queries()["op_m11_features"](spark, FOLDER)
+    plan = found._jdf.queryExecution().toString()
+    assert "hashpartitioning(id_a" not in plan and "kinweave-candidates" not in plan and "hashpartitioning(first_l" not in plan
+    p, c = candidates(spark, FOLDER)
+    whole = L.features(c, p)
+    assert whole.columns == found.columns and sorted(map(str, whole.collect())) == sorted(map(str, found.collect()))
