@@ -32,7 +32,7 @@ def text_key(text: Column) -> list[Column]:
 HOT_SHARE, HOT_LEAST, SALTS = 10_000, 500, 64
 
 
-def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, total: int, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, total: int, how: str = "inner", counted: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Equi-join (inner or left) of ``rows`` with a table that is unique in ``on`` and not null there; the column ``members`` is dropped.
 
     ``members`` says how many of the ``total`` rows each key has.  Keys with
@@ -40,7 +40,12 @@ def join_hot(rows: DataFrame, unique: DataFrame, on: list[str], members: str, to
     broadcast to mark their rows, which are then dealt by a salt, and the keys
     are copied once for each salt.  The salt is a hash of the row, so that a
     task that is run again deals its rows alike.
+
+    ``most``: a bound on ``members``, where known.  If it makes no key hot, the
+    tables meet by a sorted join and the driver broadcasts nothing.
     """
+    if most is not None and most <= max(HOT_LEAST, total // HOT_SHARE):
+        return rows.join(unique.drop(members).hint("merge"), on, how)
     hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     salt = F.pmod(F.xxhash64(F.lit("salt"), *hashed), F.lit(SALTS)).cast("int")
     hot = F.col(members) > max(HOT_LEAST, total // HOT_SHARE)

@@ -46,11 +46,19 @@ def _is_first() -> Column:
     return F.struct("doc", "line") == F.col("first")
 
 
-def _ranked(suffixes: DataFrame, parts: list[str], total: int) -> DataFrame:
-    """(doc, line, rank, first, any): the suffixes whose ``parts`` several have, with the sorted number of the parts."""
+def _ranked(suffixes: DataFrame, parts: list[str], total: int) -> tuple[DataFrame | None, int]:
+    """(doc, line, rank, first, any): the suffixes whose ``parts`` several have, with the sorted number of the parts; none if there are none.
+
+    Also how many the largest interval has.  Joins here are sorted at every
+    size, hot keys aside: there are so many that what they would broadcast
+    fills the driver.
+    """
     classes = suffixes.groupBy(*parts).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc", "line")).alias("first")).where("members > 1")
-    ranks = global_rank(classes, parts, "rank")
-    return materialize(join_hot(suffixes, ranks, parts, "members", total).select("doc", "line", "rank", "first", "any"), "suffixes")
+    ranks = global_rank(classes, parts, "rank", gapless=False)
+    most = ranks.agg(F.max("members")).first()[0]
+    if most is None:
+        return None, 0
+    return materialize(join_hot(suffixes, ranks, parts, "members", total, most=most).select("doc", "line", "rank", "first", "any"), "suffixes"), most
 
 
 def _ahead(step: int, column: str) -> Column:
@@ -58,19 +66,19 @@ def _ahead(step: int, column: str) -> Column:
     return F.max(column).over(Window.partitionBy("doc").orderBy("line").rangeBetween(step, step))
 
 
-def _levels(lines: DataFrame, total: int) -> list[DataFrame]:
-    """The ranks at depth 1, 2, 4, ... of all suffixes that share so many lines with another."""
-    levels: list[DataFrame] = []
-    level = _ranked(lines, ["h1", "h2"], total)
-    while not level.isEmpty():
-        levels.append(level)
+def _levels(lines: DataFrame, total: int) -> list[tuple[DataFrame, int]]:
+    """The ranks at depth 1, 2, 4, ... of all suffixes that share so many lines with another, with the size of the largest interval."""
+    levels: list[tuple[DataFrame, int]] = []
+    level, most = _ranked(lines, ["h1", "h2"], total)
+    while level is not None:
+        levels.append((level, most))
         step = 1 << (len(levels) - 1)
         pairs = level.select("doc", "line", F.col("rank").alias("rank1"), _ahead(step, "rank").alias("rank2"), (F.col("any") | _ahead(step, "any")).alias("any"))
-        level = _ranked(pairs.where("rank2 is not null"), ["rank1", "rank2"], total)
+        level, most = _ranked(pairs.where("rank2 is not null"), ["rank1", "rank2"], total)
     return levels
 
 
-def _copies(levels: list[DataFrame], total: int) -> DataFrame:
+def _copies(levels: list[tuple[DataFrame, int]], total: int) -> DataFrame:
     """(doc, line, length, any) of every suffix that shares lines with an earlier one: the length of the longest shared prefix.
 
     State rows are (doc, line, asks, length, any, n1, n2): the members of the
@@ -80,18 +88,20 @@ def _copies(levels: list[DataFrame], total: int) -> DataFrame:
     done: list[DataFrame] = []
     kept = F.struct("asks", "length", "any", "n1", "n2")
     for k in range(len(levels) - 1, -1, -1):
-        own = levels[k]
+        own = levels[k][0]
         if k + 1 < len(levels):  # copies at the next depth have their length there; its firsts answer for them here
-            own = own.join(levels[k + 1].where(~_is_first()).select("doc", "line"), ["doc", "line"], "left_anti")
+            own = own.join(levels[k + 1][0].where(~_is_first()).select("doc", "line").hint("merge"), ["doc", "line"], "left_anti")
         rows = own.select("doc", "line", (~_is_first()).alias("asks"), F.lit(1 << k).alias("length"), "any", F.xxhash64(F.lit(k), "rank").alias("n1"), F.xxhash64("rank", F.lit(k)).alias("n2"))
         if k == 0:  # nothing is shorter than a step of 1
             done.append(rows.where("asks"))
             break
         state = rows if state is None else state.unionByName(rows)
-        step = levels[k - 1].select(F.col("doc").alias("d"), F.col("line").alias("l"), F.col("rank").alias("next"), F.col("any").alias("more"))
-        looked = state.join(step, (F.col("doc") == F.col("d")) & (F.col("line") + F.col("length") == F.col("l")), "left").drop("d", "l")
+        level, most = levels[k - 1]
+        step = level.select(F.col("doc").alias("d"), F.col("line").alias("l"), F.col("rank").alias("next"), F.col("any").alias("more"))
+        looked = state.join(step.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("line") + F.col("length") == F.col("l")), "left").drop("d", "l")
         narrow = looked.where("next is not null").groupBy("n1", "n2", "next").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc", "line")).alias("first")).where("members > 1")
-        met = join_hot(looked, narrow, ["n1", "n2", "next"], "members", total, "left")
+        # the lines that follow an interval's members are different suffixes, so no more than have their rank
+        met = join_hot(looked, narrow, ["n1", "n2", "next"], "members", total, "left", most=most)
         inner = F.struct(
             (~_is_first()).alias("asks"), (F.col("length") + F.lit(1 << (k - 1))).alias("length"), (F.col("any") | F.col("more")).alias("any"),
             F.xxhash64(F.lit(k), "n1", "n2", "next").alias("n1"), F.xxhash64("next", "n2", "n1", F.lit(k)).alias("n2"),
@@ -130,10 +140,10 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, min_words: int = 25, key:
         if levels:
             copies = _copies(levels, total)
             found = copies.where((F.col("length") >= min_lines) & F.col("any")).select("doc", F.col("line").alias("start"), (F.col("line") + F.col("length")).alias("end"))
-            again = levels[0].where(~_is_first()).select("doc", "line")
-            wide = lines.where(F.col("words") >= min_words).select("doc", "line").join(again, ["doc", "line"], "left_semi")
+            again = levels[0][0].where(~_is_first()).select("doc", "line")
+            wide = lines.where(F.col("words") >= min_words).select("doc", "line").join(again.hint("merge"), ["doc", "line"], "left_semi")
             found = found.unionByName(wide.select("doc", F.col("line").alias("start"), (F.col("line") + 1).alias("end")))
-        firsts = texts.select("doc", *DOC).join(_per_text(found), "doc").select(*DOC, "runs", "gone")
+        firsts = texts.select("doc", *DOC).join(_per_text(found).hint("merge"), "doc").select(*DOC, "runs", "gone")
         whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("n_lines")))
         counts = (F.size("lines") >= min_lines) & F.exists("lines", lambda l: l["words"] > 0) | F.exists("lines", lambda l: l["words"] >= min_words)
         copied = texts.where("members > 1").where(counts).select(F.col(DOC[0]).alias("least"), *DOC[1:], F.size("lines").alias("n"), "members")

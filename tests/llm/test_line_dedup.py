@@ -71,3 +71,17 @@ def test_repeated_rows_and_null_keys(spark):
     assert got == [("1", "r", 1, 2)] * 3 + [("2", "", 1, 3), ("None", "p\nq\nz", 0, 0)]
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert dedup_lines(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["n_lines"] == 0
+
+
+def test_levels_broadcast_nothing(spark):
+    """Only hot keys are broadcast, so what the driver holds does not grow with the levels."""
+    from kinweave.llm import line_dedup
+
+    lines = spark.createDataFrame([(d, i, 1000 * (d // 2) + i, 0, True) for d in range(8) for i in range(30)], "doc long, line int, h1 long, h2 long, any boolean")
+    levels = line_dedup._levels(lines, 240)
+    assert [most for _, most in levels] == [2] * 5
+    found = line_dedup._copies(levels, 240)
+    assert sorted((r.doc, r.line, r.length) for r in found.collect()) == [(d, i, 30 - i) for d in (1, 3, 5, 7) for i in range(30)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    narrow = spark.range(4).selectExpr("id as k", "2 as members")
+    assert "Broadcast" not in common.join_hot(spark.range(9).selectExpr("id as k"), narrow, ["k"], "members", 9, most=2)._jdf.queryExecution().executedPlan().toString()
