@@ -83,3 +83,28 @@ def test_features_come_along_with_the_pairs(spark):
     p, c = candidates(spark, FOLDER)
     whole = L.features(c, p)
     assert whole.columns == found.columns and sorted(map(str, whole.collect())) == sorted(map(str, found.collect()))
+
+
+@pytest.mark.parametrize("name", ["op_m12_gate"])
+def test_scoring_writes_and_shuffles_no_pairs(spark, name):
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
+    assert "hashpartitioning(id_a" not in plan and "kinweave-features" not in plan and "kinweave-candidates" not in plan
+
+
+def test_training_on_counted_rows(spark):
+    """A row that comes n times weighs n: the model is that of the whole table, and contributions are ranked as by the window."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from kinweave.operators import linkage as L
+    from kinweave.plans.rule_queries import compared
+
+    f = L.features_of(compared(spark, FOLDER, "entity").withColumn("label", F.col("entity_l") == F.col("entity_r")), "label").cache()
+    r = f.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    data = L.vector(f).withColumn("_y", F.col("label").cast("double")).withColumn("_w", F.when(F.col("label"), 0.5 / r).otherwise(0.5 / (1 - r)))
+    plain = LogisticRegression(featuresCol="x", labelCol="_y", weightCol="_w", regParam=0.01, maxIter=50).fit(data)
+    model = L.train_matcher(f, kind="logistic")
+    assert model.coefficients() == pytest.approx(plain.coefficients.toArray().tolist(), abs=1e-3)
+    some = f.where(F.col("id_a") < "R00000100")
+    text = lambda df: sorted((*r[:3], r["rank"], *(round(x, 9) for x in (r.contribution, r.running, r.probability))) for r in df.collect())
+    old, new = L.waterfall(model.contributions(some), 0.5), L.waterfall_of(model.contributions(some, whole=True), 0.5)
+    assert old.columns == new.columns and old.count() > 0 and text(old) == text(new)
