@@ -85,7 +85,7 @@ def test_features_come_along_with_the_pairs(spark):
     assert whole.columns == found.columns and sorted(map(str, whole.collect())) == sorted(map(str, found.collect()))
 
 
-@pytest.mark.parametrize("name", ["op_m12_gate", "op_m13_matcher"])
+@pytest.mark.parametrize("name", ["op_m12_gate", "op_m13_matcher", "op_m14_contributions"])
 def test_scoring_writes_and_shuffles_no_pairs(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
     assert "hashpartitioning(id_a" not in plan and "kinweave-features" not in plan and "kinweave-candidates" not in plan
