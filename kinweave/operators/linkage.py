@@ -287,7 +287,7 @@ def train_matcher(featured: DataFrame, label: str = "label", kind: str = "gbt",
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
 
-    kinds = materialize(featured.groupBy(*FEATURES, *CATEGORIES, label).agg(F.count(F.lit(1)).alias("_n")), "kinds")
+    kinds = materialize(featured.groupBy(*FEATURES, *CATEGORIES, label).agg(F.count(F.lit(1)).alias("_n")), "kinds", release=True)
     rates = kinds.where(F.col(label).isNotNull()).agg((F.sum(F.col(label).cast("double") * F.col("_n")) / F.sum("_n")).alias("r")).first()["r"]
     balance = F.when(F.col(label), 0.5 / max(rates, 1e-9)).otherwise(0.5 / max(1 - rates, 1e-9))
     data = vector(kinds).withColumn("_y", F.col(label).cast("double")).withColumn("_w", balance * F.col("_n"))

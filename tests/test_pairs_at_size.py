@@ -134,3 +134,41 @@ def test_match_stats_store_no_matches(spark, monkeypatch):
     monkeypatch.setattr(storage.Stored, "__init__", lambda self, df, tag="table": (made.append(tag), plain(self, df, tag))[1])
     assert entry.queries()["op_a05_match_stats"](spark, FOLDER).first()["pairs"] > 0
     assert "spanning" in made and not {"candidates", "matches"} & set(made)
+
+
+def shuffled(df):
+    """Bytes that running ``df`` shuffles."""
+    store = df.sparkSession.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size())))
+    stages = store.stageList(None, False, False, df.sparkSession.sparkContext._gateway.new_array(df.sparkSession.sparkContext._jvm.double, 0), None)
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    stages = store.stageList(None, False, False, df.sparkSession.sparkContext._gateway.new_array(df.sparkSession.sparkContext._jvm.double, 0), None)
+    return written() - before
+
+
+def keyed(spark, n):
+    """Records of ten a date; every id is of one date, but that of every 50th record."""
+    return spark.range(n).select(F.format_string("r%07d", "id").alias("rec_id"), F.when(F.col("id") % 31 != 0, (F.col("id") / 10).cast("int") + (F.col("id") % 50 == 0).cast("int")).cast("string").alias("d"), F.sha2((F.col("id") / 5).cast("int").cast("string"), 256).alias("g"))
+
+
+def test_groups_without_new_pairs_are_not_shuffled(spark):
+    df = keyed(spark, 20_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one, both = (shuffled(B.group_pairs(df, {k: F.col(k) for k in names}, B.NO_LIMIT, blocks=False)) for names in ("d", "dg"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < one < both < 2.5 * one  # every g again, with its d, would be far more
+
+
+@pytest.mark.parametrize("most", [0, B.NO_LIMIT])
+def test_pairs_of_later_keys_are_whole(spark, monkeypatch, most):
+    monkeypatch.setattr(B, "MOST_VARIED", most)
+    df = keyed(spark, 300)
+    keys = {k: F.col(k) for k in "dg"}
+    plain = B.pairs_within_keys(df.select(F.lit("d").alias("block"), F.col("d").alias("key"), F.col("rec_id").alias("id")).unionByName(df.select(F.lit("g").alias("block"), F.col("g").alias("key"), F.col("rec_id").alias("id"))).where("key is not null"))
+    assert rows(B.group_pairs(df, keys, B.NO_LIMIT)) == rows(plain)
+    bare = B.group_pairs(df, keys, B.NO_LIMIT, blocks=False, carry=("d",))
+    assert bare.columns == ["id_a", "id_b", "d_l", "d_r"]
+    assert sorted(map(tuple, bare.select("id_a", "id_b").collect())) == [r[:2] for r in rows(plain)]
