@@ -172,3 +172,13 @@ def test_pairs_of_later_keys_are_whole(spark, monkeypatch, most):
     bare = B.group_pairs(df, keys, B.NO_LIMIT, blocks=False, carry=("d",))
     assert bare.columns == ["id_a", "id_b", "d_l", "d_r"]
     assert sorted(map(tuple, bare.select("id_a", "id_b").collect())) == [r[:2] for r in rows(plain)]
+
+
+def test_codes_join_no_records(spark):
+    from kinweave.functions.phonetic import double_metaphone, double_metaphone_udf, metaphone, metaphone_udf, with_code
+
+    df = spark.createDataFrame([(x,) for x in ("SMITH", None, "", "SMITH", "THOMPSON")], "last string")
+    for coder, plain in ((metaphone_udf, metaphone), (double_metaphone_udf, double_metaphone)):
+        found = with_code(df, "last", "code", coder)
+        assert "Join" not in found._jdf.queryExecution().toString()
+        assert [tuple(r) for r in found.collect()] == [(r.last, None if r.last is None else plain(r.last)) for r in df.collect()]
