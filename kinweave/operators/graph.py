@@ -9,9 +9,13 @@ from kinweave.operators.components import connected_components
 TOP_K, QGRAM_WEIGHT = 10, 0.5
 
 
-def arcs_weights(pairs: DataFrame, lone_qgram: float = QGRAM_WEIGHT) -> DataFrame:
-    """Adds ``weight``: the sum over a pair's blocks of 1 / pairs in that block; a fixed weight for pairs only the q-gram block finds."""
-    sizes = pairs.select(F.explode("blocks").alias("block")).where("block <> 'QG'").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+def arcs_weights(pairs: DataFrame, lone_qgram: float = QGRAM_WEIGHT, sizes: DataFrame | None = None) -> DataFrame:
+    """Adds ``weight``: the sum over a pair's blocks of 1 / pairs in that block; a fixed weight for pairs only the q-gram block finds.
+
+    ``sizes``: (block, n) where it is known; else the pairs are counted.
+    """
+    if sizes is None:
+        sizes = pairs.select(F.explode("blocks").alias("block")).where("block <> 'QG'").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     # one row with an entry for each block scheme: a handful, so the pairs are not shuffled
     shares = sizes.agg(F.map_from_entries(F.collect_list(F.struct("block", 1 / F.col("n")))).alias("_share"))
     known = F.filter("blocks", lambda b: b != "QG")

@@ -182,3 +182,16 @@ def test_codes_join_no_records(spark):
         found = with_code(df, "last", "code", coder)
         assert "Join" not in found._jdf.queryExecution().toString()
         assert [tuple(r) for r in found.collect()] == [(r.last, None if r.last is None else plain(r.last)) for r in df.collect()]
+
+
+@pytest.mark.parametrize("most", [0, B.NO_LIMIT])
+def test_stacked_pairs_are_united_without_a_shuffle(spark, monkeypatch, most):
+    from kinweave.operators import qgram as Q
+
+    monkeypatch.setattr(B, "MOST_VARIED", most)
+    p = B.valid_records(person(spark, FOLDER)).where("entity < 60")
+    near = Q.near_texts(p.select(F.col("rec_id").alias("id"), Q.name_text().alias("t")))
+    found = B.stacked_pairs(p, near, Q.name_text(), cap=5)
+    plain = B.union_pairs(B.candidate_pairs(p, cap=5), Q.qgram_pairs(p))
+    assert "hashpartitioning(id_a" not in found._jdf.queryExecution().toString()
+    assert rows(found.withColumn("n_blocks", F.size("blocks"))) == rows(plain) and plain.where("blocks = array('QG')").count() > 0
