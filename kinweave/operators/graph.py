@@ -25,10 +25,10 @@ def arcs_weights(pairs: DataFrame, lone_qgram: float = QGRAM_WEIGHT, sizes: Data
 
 def prune_top_k(weighted: DataFrame, k: int = TOP_K) -> DataFrame:
     """Keeps edges among the k heaviest of either end; ties go to the greater pair."""
-    ends = weighted.select(F.explode(F.array("id_a", "id_b")).alias("node"), "id_a", "id_b", "weight")
+    ends = weighted.select(F.explode(F.array("id_a", "id_b")).alias("node"), *weighted.columns)
     order = Window.partitionBy("node").orderBy(F.col("weight").desc(), F.col("id_a").desc(), F.col("id_b").desc())
-    kept = ends.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("id_a", "id_b").distinct()
-    return weighted.join(kept, ["id_a", "id_b"], "left_semi")
+    # the pairs come along, so they are made once and only kept ones are made distinct
+    return ends.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r", "node").dropDuplicates(["id_a", "id_b"])
 
 
 def assign_clusters(ids: DataFrame, edges: DataFrame, id_col: str = "rec_id") -> DataFrame:
