@@ -195,3 +195,15 @@ def test_stacked_pairs_are_united_without_a_shuffle(spark, monkeypatch, most):
     plain = B.union_pairs(B.candidate_pairs(p, cap=5), Q.qgram_pairs(p))
     assert "hashpartitioning(id_a" not in found._jdf.queryExecution().toString()
     assert rows(found.withColumn("n_blocks", F.size("blocks"))) == rows(plain) and plain.where("blocks = array('QG')").count() > 0
+
+
+def test_pruning_makes_pairs_once(spark):
+    from kinweave.operators import graph as G
+
+    rows = [(f"a{i % 7}", f"b{i}", ["B1"], 1.0 / (i % 5 + 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id_a string, id_b string, blocks array<string>, weight double")
+    kept = G.prune_top_k(df, 2)
+    assert kept.columns == df.columns and "Join" not in kept._jdf.queryExecution().toString()
+    best = lambda n: sorted((r for r in rows if n in r[:2]), key=lambda r: (r[3], r[0], r[1]))[-2:]
+    want = {r[:2] for n in {x for r in rows for x in r[:2]} for r in best(n)}
+    assert sorted((r.id_a, r.id_b) for r in kept.collect()) == sorted(want)
