@@ -251,3 +251,34 @@ def test_groups_and_blocks_of_pairs_of_any_size(spark, monkeypatch, rows, step,
     monkeypatch.setattr(M, "WIDE", wide)
     monkeypatch.setattr(M, "triangles", lambda end, down=False: plain(end, step, down))
     assert made(M.stacked(*s.own)) == whole and made(M.lone_best(*s.own, 3)) == best and best
+
+
+def test_similarities_in_arrays():
+    import random
+
+    import numpy as np
+
+    from kinweave.operators import compared as C
+
+    rng = random.Random(3)
+    words = sorted({"", "MARTHA", "MARHTA", "DIXON", "DICKSONX", "ÉLÈVE", "JELLYFISH", "SMELLYFISH", *("".join(rng.choice("AB1É") for _ in range(rng.randrange(1, 13))) for _ in range(150))})
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    assert C.jaro_winkler(C.Texts(words), a, b).tolist() == [jaro_winkler(words[x], words[y]) for x, y in zip(a, b)]
+
+    def edits(s, t):
+        row = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = [1.0 if not (s or t) else 1 - edits(s, t) / max(len(s), len(t)) for s, t in ((words[x], words[y]) for x, y in zip(a, b))]
+    assert C.levenshtein_similarity(C.Texts(words), a, b).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["op_m11_features", "op_m12_gate"])
+def test_features_join_no_records(spark, name):
+    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "_k0_l" not in plan
